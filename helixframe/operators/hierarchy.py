@@ -2,7 +2,8 @@
 
 1. Peeling: links whose child has no children or whose parent has no parents cannot lie on a cycle
    and are taken off round by round. What stays holds all cycles; its strongly connected components
-   are told apart by colouring (largest reachable id, then reach within one colour).
+   are told apart by colouring (largest reachable id, then reach within one colour). Once no more
+   than ``CORE_LINKS`` links are left, a single task of that bounded size ends this step instead.
 2. Without the cycle nodes the links form a DAG. It is cut into fragments, trees whose nodes have one
    parent each; a fragment's head is a root, or a node with several parents or with only cyclic ones.
 3. The Euler tours of all fragments are built at once (successor of every arc) and ranked in parallel
@@ -27,63 +28,101 @@ from helixframe.runtime import Table, materialize
 BLOCK = 50_000
 #: Siblings are ordered within this many hash buckets, so no window holds all children of a hot parent.
 SIBLING_BUCKETS = 1024
+#: So many links, at most, are searched for cycles in one task; above it all rounds are distributed.
+CORE_LINKS = 20_000
 
 
-def _empty(df: DataFrame) -> bool:
-    return df.isEmpty()
+def _peel(links: DataFrame, enough: int) -> tuple[Table, int]:
+    """Links that stay, and their number, when those of outermost terms are taken off round by round.
 
-
-def _peel(links: DataFrame) -> Table:
-    """Links that stay when those of outermost terms are taken off until nothing changes."""
+    Ends when nothing changes or no more than ``enough`` links are left.
+    """
     t = Table(links, "peel")
     n = t.df.count()
-    while n:
+    while n > enough:
         e = t.df
         kids, parents = e.select(F.col("child").alias("k")).distinct(), e.select(F.col("parent").alias("q")).distinct()
         nxt = Table(e.join(parents, e.child == F.col("q"), "left_semi").join(kids, e.parent == F.col("k"), "left_semi"), "peel")
         m = nxt.df.count()
         t.drop()
-        t = nxt
-        if m == n:
+        t, n, before = nxt, m, n
+        if m == before:
             break
-        n = m
-    return t
+    return t, n
 
 
-def cycle_terms(links: DataFrame) -> DataFrame:
+def _components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids of all strongly connected components of two nodes or more, for a bounded set of links."""
+    out: dict[int, list[int]] = {}
+    for b in batches:
+        for c, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            out.setdefault(c, []).append(p)
+    # Peel what has no way on, then walk depth first: a node whose low mark is its own closes a component.
+    mark, low, open_, found, stack = {}, {}, set(), [], []
+    for start in out:
+        if start in mark:
+            continue
+        walk = [(start, iter(out[start]))]
+        mark[start] = low[start] = len(mark)
+        stack.append(start)
+        open_.add(start)
+        while walk:
+            v, ways = walk[-1]
+            for w in ways:
+                if w not in mark:
+                    mark[w] = low[w] = len(mark)
+                    stack.append(w)
+                    open_.add(w)
+                    walk.append((w, iter(out.get(w, ()))))
+                    break
+                if w in open_:
+                    low[v] = min(low[v], mark[w])
+            else:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[v])
+                if low[v] == mark[v]:
+                    part = []
+                    while not part or part[-1] != v:
+                        part.append(stack.pop())
+                    open_.difference_update(part)
+                    if len(part) > 1:
+                        found += part
+    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["id"])
+
+
+def cycle_terms(links: DataFrame, core_links: int = CORE_LINKS) -> DataFrame:
     """Terms (one column ``id``) from which links lead back to themselves, also in one step."""
     loops = links.where("child = parent").select(F.col("child").alias("id")).distinct()
     found = [loops]
-    core = _peel(links.where("child != parent"))
-    while not _empty(core.df):
+    core, left = _peel(links.where("child != parent"), core_links)
+    while left:
         e = core.df
+        if left <= core_links:
+            found.append(e.select("child", "parent").repartition(1).mapInArrow(_components, "id bigint"))
+            break
         ids = e.select(F.col("child").alias("id")).union(e.select("parent")).distinct()
-        col = Table(ids.withColumn("c", F.col("id")), "colour")
+        colour = ids.withColumn("c", F.col("id")).withColumn("up", F.lit(True))
         while True:  # colour: the largest id that can be reached
-            seen = e.join(col.df, e.parent == F.col("id")).groupBy(F.col("child").alias("i2")).agg(F.max("c").alias("c2"))
-            nxt = Table(col.df.join(seen, F.col("id") == F.col("i2"), "left").select("id", F.greatest("c", "c2").alias("c"), (F.col("c2") > F.col("c")).alias("up")), "colour")
-            done = _empty(nxt.df.where("up"))
-            col.drop()
-            col = nxt
-            if done:
+            seen = e.join(colour, e.parent == F.col("id")).groupBy(F.col("child").alias("i2")).agg(F.max("c").alias("c2"))
+            nxt = colour.drop("up").join(seen, F.col("id") == F.col("i2"), "left").select("id", F.greatest("c", "c2").alias("c"), (F.col("c2") > F.col("c")).alias("up"))
+            colour = materialize(nxt, "colour")
+            if colour.where("up").isEmpty():
                 break
-        c1, c2 = col.df.select(F.col("id").alias("a"), F.col("c").alias("ca")), col.df.select(F.col("id").alias("b"), F.col("c").alias("cb"))
-        inner = Table(e.join(c1, e.child == F.col("a")).join(c2, e.parent == F.col("b")).where("ca = cb").select("child", "parent"), "inner")
-        reach = Table(col.df.where("id = c").select("id"), "reach")
-        front = reach.df
+        c1, c2 = colour.select(F.col("id").alias("a"), F.col("c").alias("ca")), colour.select(F.col("id").alias("b"), F.col("c").alias("cb"))
+        inner = materialize(e.join(c1, e.child == F.col("a")).join(c2, e.parent == F.col("b")).where("ca = cb").select("child", "parent"), "inner")
+        reach = front = colour.where("id = c").select("id")
         while True:  # what the root of a colour reaches within it
-            step = inner.df.join(front, F.col("child") == F.col("id"), "left_semi").select(F.col("parent").alias("id")).distinct()
-            new = Table(step.join(reach.df, "id", "left_anti"), "front")
-            if _empty(new.df):
+            step = inner.join(front, F.col("child") == F.col("id"), "left_semi").select(F.col("parent").alias("id")).distinct()
+            front = materialize(step.join(reach, "id", "left_anti"), "front")
+            if front.isEmpty():
                 break
-            front = new.df
-            reach = Table(reach.df.union(new.df), "reach")
-        members = reach.df
-        on = inner.df.join(members, F.col("child") == F.col("id"), "left_semi").join(members.withColumnRenamed("id", "m"), F.col("parent") == F.col("m"), "left_semi")
+            reach = reach.union(front)
+        members, m2 = reach, reach.withColumnRenamed("id", "m")
+        on = inner.join(members, F.col("child") == F.col("id"), "left_semi").join(m2, F.col("parent") == F.col("m"), "left_semi")
         found.append(materialize(on.select(F.col("child").alias("id")).distinct(), "cycle"))
-        left = e.join(members, e.child == F.col("id"), "left_anti").join(members.withColumnRenamed("id", "m"), e.parent == F.col("m"), "left_anti")
-        old, core = core, _peel(left)
-        old.drop()
+        rest = e.join(members, e.child == F.col("id"), "left_anti").join(m2, e.parent == F.col("m"), "left_anti")
+        core, left = _peel(rest, core_links)
     out = found[0]
     for f in found[1:]:
         out = out.union(f)
@@ -111,7 +150,7 @@ def rank_tours(tree: DataFrame) -> DataFrame:
     up_last = up.select("v", F.lit(1).alias("d"), F.col("gv").alias("xv"), F.when(F.col("gv").isNotNull(), 1).alias("xd"), F.when(F.col("gv").isNull(), F.col("p")).alias("tail"))
     arcs = down.union(up_in).union(up_last).select("*", (1 - F.col("d")).cast("bigint").alias("dn"), F.col("d").cast("bigint").alias("un"))
     r = Table(arcs, "rank")
-    while not _empty(r.df.where("xv IS NOT NULL")):
+    while not r.df.where("xv IS NOT NULL").isEmpty():
         x = r.df
         for i in range(3):  # three hops a round: every arc then sees four times as far
             y = r.df.select(*[F.col(c).alias(f"y{c}{i}") for c in r.df.columns])
@@ -145,7 +184,7 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(head, pa.int64()), pa.array(block, pa.int64()), pa.array(v, pa.int64()), pa.array(dep, pa.int64()), pa.array(path, pa.string())], names=["head", "block", "v", "depth", "rel"])
 
 
-def hierarchy(terms: DataFrame, links: DataFrame, *, block: int = BLOCK) -> DataFrame:
+def hierarchy(terms: DataFrame, links: DataFrame, *, block: int = BLOCK, core_links: int = CORE_LINKS) -> DataFrame:
     """Every path from a root to a term: ``id, node_state, root_id, lvl, full_path``.
 
     ``terms`` has a column ``id`` (repeats and NULLs are ignored), ``links`` the columns ``child,
@@ -157,7 +196,7 @@ def hierarchy(terms: DataFrame, links: DataFrame, *, block: int = BLOCK) -> Data
     t = materialize(terms.select(F.col("id").cast("bigint")).where("id IS NOT NULL").distinct(), "terms")
     raw = links.select(F.col("child").cast("bigint"), F.col("parent").cast("bigint")).where("child IS NOT NULL AND parent IS NOT NULL").distinct()
     lk = materialize(raw.join(t.withColumnRenamed("id", "x"), F.col("parent") == F.col("x"), "left_semi").join(t.withColumnRenamed("id", "y"), F.col("child") == F.col("y"), "left_semi"), "links")
-    cyc = cycle_terms(lk)
+    cyc = cycle_terms(lk, core_links)
     c1, c2 = cyc.withColumnRenamed("id", "x"), cyc.withColumnRenamed("id", "y")
     clean = lk.join(c1, F.col("child") == F.col("x"), "left_anti").join(c2, F.col("parent") == F.col("y"), "left_anti")
     deg = lk.join(clean.withColumn("ok", F.lit(1)), ["child", "parent"], "left").groupBy("child").agg(F.count("ok").alias("k"), F.min(F.when(F.col("ok") == 1, F.col("parent"))).alias("p"))
@@ -183,7 +222,7 @@ def hierarchy(terms: DataFrame, links: DataFrame, *, block: int = BLOCK) -> Data
     while True:
         nxt = spread(level).join(he, (F.col("v") == F.col("ph")) & (F.col("blk") == F.col("pb")))
         level = materialize(nxt.select(F.col("child").alias("v"), "root", (F.col("lvl") + F.col("plus")).alias("lvl"), F.concat("prefix", "rel").alias("prefix"), "blocks"), "inst")
-        if _empty(level):
+        if level.isEmpty():
             break
         levels.append(level)
     inst = levels[0]

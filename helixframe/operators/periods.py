@@ -169,8 +169,8 @@ def _slabs(spark, base: DataFrame, lists: DataFrame, names: list[str], hot: list
     q = base.where(h.isin(hot)).groupBy(h.alias("h")).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("s", grid, F.lit(2000)).alias("q"))
     total = base.agg(F.count(F.lit(1)).alias("t")).scalar()
     # As many slabs as the group is times larger than the share, at most GRID.
-    step = F.greatest(F.lit(1), F.floor(F.lit(GRID * share) * total / F.col("n"))).cast("int")
-    cuts = F.broadcast(q.select("h", F.array_distinct(F.filter("q", lambda x, i: (i + 1) % step == 0)).alias("cuts")))
+    q = q.withColumn("step", F.greatest(F.lit(1), F.floor(F.lit(GRID * share) * total / F.col("n"))).cast("int"))
+    cuts = F.broadcast(q.select("h", F.array_distinct(F.filter("q", lambda x, i: (i + 1) % F.col("step") == 0)).alias("cuts")))
     x = lists.withColumn("h0", h).join(cuts, F.col("h0") == F.col("h"), "left")
     slab_of = lambda v: F.size(F.filter("cuts", lambda c: c <= v))
     slabs = F.when(F.col("cuts").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(slab_of(F.col("s")), slab_of(F.col("e") - 1)))
