@@ -93,8 +93,7 @@ def _linear_merge(keys: list[str], schema: pa.Schema, with_gaps: bool):
         for b in batches:
             if not b.num_rows:
                 continue
-            t = pa.Table.from_batches([b])
-            t = t.append_column("is_first", pa.array(np.ones(t.num_rows, dtype=bool)))
+            t = pa.Table.from_arrays([*b.columns, pa.array(np.ones(b.num_rows, dtype=bool))], names=[*b.schema.names, "is_first"])
             if carry is not None:
                 t = pa.concat_tables([carry, t])
             new = _starts_of_groups(t, [*keys, "slab"])
