@@ -1,5 +1,5 @@
 """Catalogues of queries with their SQL counterparts."""
 
-from helixframe.plans import problems
+from helixframe.plans import genomics, problems
 
-CATALOGUES = [problems]
+CATALOGUES = [genomics, problems]
