@@ -83,7 +83,7 @@ def _bins(df: DataFrame, at: Column, p: str) -> DataFrame:
     x = df.withColumn("__l", F.explode(at))
     w = F.element_at(F.array(*[F.lit(v).cast("bigint") for v in WIDTHS]), F.col("__l") + 1)
     lo, hi = F.floor(F.col(f"__{p}s") / w), F.floor(F.col(f"__{p}z") / w)
-    return x.withColumn(f"__{p}f", lo).withColumn("__b", F.explode(F.sequence(lo, hi))).withColumnRenamed("__l", f"__{p}l").withColumnRenamed("__b", f"__{p}b")
+    return x.withColumn(f"__{p}f", lo).withColumn("__b", F.explode(F.sequence(lo, hi))).withColumnRenamed("__l", f"__{p}l").withColumnRenamed("__b", f"__{p}b").drop("__lv")
 
 
 def range_join(a: DataFrame, b: DataFrame, *, within: bool = False, closed: bool = False, how: str = "inner", prefix: str = "b_", levels: tuple[list[int], list[int]] | None = None) -> DataFrame:

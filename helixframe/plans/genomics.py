@@ -218,12 +218,12 @@ def a16_overlap_fragments(spark: SparkSession, d: str) -> DataFrame:
     return ct.overlap_fragments(dv.peaks(spark, d), dv.tags(spark, d))
 
 
-@query(f"SELECT region_id, coalesce(sum(least(t.chrom_end, p.chrom_end) - greatest(t.chrom_start, p.chrom_start) + 1), 0)::BIGINT AS n FROM peaks p LEFT JOIN tags t ON {_CL} GROUP BY region_id", "tags", "peaks")
+@query(f"SELECT region_id, coalesce(sum(CASE WHEN t.chrom IS NOT NULL THEN least(t.chrom_end, p.chrom_end) - greatest(t.chrom_start, p.chrom_start) + 1 END), 0)::BIGINT AS n FROM peaks p LEFT JOIN tags t ON {_CL} GROUP BY region_id", "tags", "peaks")
 def a17_overlap_nucleotides(spark: SparkSession, d: str) -> DataFrame:
     return ct.overlap_nucleotides(dv.peaks(spark, d), dv.tags(spark, d))
 
 
-@query(f"""SELECT region_id, CASE WHEN any_value(p.chrom_end - p.chrom_start) = 0 THEN 'nan'::DOUBLE ELSE coalesce(sum(least(t.chrom_end, p.chrom_end) - greatest(t.chrom_start, p.chrom_start) + 1), 0)::DOUBLE / any_value(p.chrom_end - p.chrom_start) END AS coverage,
+@query(f"""SELECT region_id, CASE WHEN any_value(p.chrom_end - p.chrom_start) = 0 THEN 'nan'::DOUBLE ELSE coalesce(sum(CASE WHEN t.chrom IS NOT NULL THEN least(t.chrom_end, p.chrom_end) - greatest(t.chrom_start, p.chrom_start) + 1 END), 0)::DOUBLE / any_value(p.chrom_end - p.chrom_start) END AS coverage,
   (SELECT sum(chrom_end - chrom_start + 1) FROM tags)::BIGINT AS tag_bases FROM peaks p LEFT JOIN tags t ON {_CL} GROUP BY region_id""", "tags", "peaks")
 def a15_coverage(spark: SparkSession, d: str) -> DataFrame:
     return ct.coverage(dv.peaks(spark, d), dv.tags(spark, d))
@@ -399,7 +399,7 @@ def _odds_rows() -> str:
     for m in MOTIFS:
         for strand, mat in (("true", m.mat), ("false", pwm.reverse_complement(m.mat))):
             t = pwm.log_odds(mat)
-            rows += [f"('{m.name}', {strand}, {j}, '{c}', {t[j, i]!r}::DOUBLE)" for j in range(len(mat)) for i, c in enumerate("ACGT")]
+            rows += [f"('{m.name}', {strand}, {j}, '{c}', {float(t[j, i])!r}::DOUBLE)" for j in range(len(mat)) for i, c in enumerate("ACGT")]
     return ", ".join(rows)
 
 
