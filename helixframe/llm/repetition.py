@@ -31,7 +31,7 @@ RULES = {
     "phrase": ("repeated_share", 0.3, 0.05, "n_words", 1),
     "sentence": ("sentence_share", 0.25, 0.0, "n_sentences", 5),
     "paragraph": ("paragraph_share", 0.2, 0.0, "n_paragraphs", 3),
-    "pair": ("top_pair_share", 0.12, 0.04, "n_words", 50),
+    "pair": ("top_pair_share", 0.06, 0.02, "n_words", 50),
     "variety": ("sameness", 0.8, 0.5, "n_words", 100),
 }
 MEASURES = ["n_words", "n_repeated", "n_sentences", "n_paragraphs"]
@@ -113,7 +113,7 @@ def measure(texts: list[str | None]) -> dict[str, np.ndarray]:
         "n_words": counts, "n_repeated": rep.astype(np.int64),
         "n_sentences": np.array([s[0] for s in sent], dtype=np.int64), "n_paragraphs": np.array([s[0] for s in para], dtype=np.int64),
         "sentence_share": np.array([s[1] for s in sent], dtype=float), "paragraph_share": np.array([s[1] for s in para], dtype=float),
-        "top_pair_share": div(2 * np.where(top > 1, top, 0)), "sameness": np.where(counts > 0, 1 - div(per(firsts)), 0.0),
+        "top_pair_share": np.divide(top, counts - 1, out=np.zeros(len(texts)), where=top > 1), "sameness": np.where(counts > 0, 1 - div(per(firsts)), 0.0),
     }
 
 
