@@ -30,10 +30,10 @@ def rpkm(regions: DataFrame, tags: DataFrame) -> DataFrame:
     return x.select("region_id", F.coalesce(F.try_divide(F.col("n") * F.lit(1e9), total * F.col("__len")), F.lit(float("nan"))).alias("rpkm"))
 
 
-def _bin_counts(regions: DataFrame, pairs: DataFrame, k: int, lo: Column, hi: Column) -> DataFrame:
+def _bin_counts(regions: DataFrame, pairs: DataFrame, k: int, lo: Column, hi: Column, *, points: bool) -> DataFrame:
     """Dense arrays of ``floor(size / k)`` counts per region."""
     nbin = F.floor((F.col("chrom_end") - F.col("chrom_start")) / F.lit(k))
-    x = pairs.withColumn("__nb", nbin).where("__nb > 0").withColumn("__lo", F.greatest(F.lit(0), F.least(lo, F.col("__nb") - 1))).withColumn("__hi", F.least(hi, F.col("__nb") - 1)).where("__hi >= __lo")
+    x = pairs.withColumn("__nb", nbin).where("__nb > 0").withColumn("__hi", F.least(hi, F.col("__nb") - 1)).withColumn("__lo", F.greatest(F.lit(0), F.least(lo, F.col("__hi")) if points else lo)).where("__hi >= __lo")
     c = x.select("region_id", "b_n", F.explode(F.sequence("__lo", "__hi")).alias("i")).groupBy("region_id", "i").agg(F.sum("b_n").alias("n"))
     m = c.groupBy("region_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("m"))
     y = regions.join(m, "region_id", "left").withColumn("__nb", nbin)
@@ -45,15 +45,16 @@ def count_tags_bin(regions: DataFrame, tags: DataFrame, k: int) -> DataFrame:
     """5' ends per bin of ``k`` bases; leftover bases belong to the last bin; a region below ``k`` has no bins."""
     pairs = range_join(regions.select("region_id", *BED3), tag_points(tags))
     i = F.floor((F.col("b_chrom_start") - F.col("chrom_start")) / F.lit(k))
-    return _bin_counts(regions.select("region_id", *BED3), pairs, k, i, i)
+    return _bin_counts(regions.select("region_id", *BED3), pairs, k, i, i, points=True)
 
 
 def count_tags_bin_whole(regions: DataFrame, tags: DataFrame, k: int, *, end_exclusive: bool = False) -> DataFrame:
-    """Whole tags per bin. A tag that ends on a bin's edge also counts in the next bin, unless ``end_exclusive``."""
+    """Whole tags per bin. A tag that ends on a bin's edge also counts in the next bin, unless
+    ``end_exclusive``; one that lies in the leftover bases only counts nowhere."""
     t = tags.groupBy(*BED3).agg(F.count(F.lit(1)).alias("n"))
     pairs = range_join(regions.select("region_id", *BED3), t)
-    at = lambda c: F.floor((c - F.col("chrom_start")) / F.lit(k))
-    return _bin_counts(regions.select("region_id", *BED3), pairs, k, F.when(F.col("b_chrom_start") < F.col("chrom_start"), F.lit(0)).otherwise(F.floor((F.col("b_chrom_start") - F.col("chrom_start")) / F.lit(k))), at(F.col("b_chrom_end") - (1 if end_exclusive else 0)))
+    at = lambda c: F.floor((F.col(c) - F.col("chrom_start") - (1 if end_exclusive and c == "b_chrom_end" else 0)) / F.lit(k))
+    return _bin_counts(regions.select("region_id", *BED3), pairs, k, at("b_chrom_start"), at("b_chrom_end"), points=False)
 
 
 def base_map(tags: DataFrame, sizes: DataFrame | None = None) -> DataFrame:

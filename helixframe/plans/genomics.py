@@ -164,8 +164,6 @@ def a4_rpkm(spark: SparkSession, d: str) -> DataFrame:
 _DENSE = """SELECT region_id, coalesce(string_agg(n::VARCHAR, ',' ORDER BY i), '') AS counts FROM (SELECT p.region_id, b.i, coalesce(c.n, 0) AS n FROM peaks p
   LEFT JOIN (SELECT region_id, unnest(range((chrom_end - chrom_start) // 100)) AS i FROM peaks) b USING (region_id) LEFT JOIN c ON c.region_id = p.region_id AND c.i = b.i WHERE TRUE) GROUP BY region_id"""
 SQL["c_points"] = f"c AS (SELECT region_id, least((p5 - p.chrom_start) // 100, (p.chrom_end - p.chrom_start) // 100 - 1) AS i, count(*) AS n FROM peaks p JOIN st ON {_IN} WHERE p.chrom_end - p.chrom_start >= 100 GROUP BY ALL)"
-SQL["c_whole"] = f"""c AS (SELECT region_id, i, count(*) AS n FROM (SELECT region_id, unnest(range(greatest(0, CASE WHEN t.chrom_start < p.chrom_start THEN 0 ELSE (t.chrom_start - p.chrom_start) // 100 END),
-  least((t.chrom_end - p.chrom_start) // 100, (p.chrom_end - p.chrom_start) // 100 - 1) + 1)) AS i FROM tags t JOIN peaks p ON {_OV}) GROUP BY ALL)"""
 
 
 @query(_DENSE.replace("coalesce(c.n, 0) AS n", "CASE WHEN b.i IS NOT NULL THEN coalesce(c.n, 0) END AS n"), "st", "peaks", "c_points")
@@ -173,7 +171,7 @@ def a6_count_tags_bin(spark: SparkSession, d: str) -> DataFrame:
     return ct.count_tags_bin(dv.peaks(spark, d), dv.stranded_tags(spark, d), 100).select("region_id", _csv("counts"))
 
 
-@query(f"""SELECT region_id, i, count(*) AS n FROM (SELECT region_id, unnest(range(CASE WHEN t.chrom_start < p.chrom_start THEN 0 ELSE least((t.chrom_start - p.chrom_start) // 100, (p.chrom_end - p.chrom_start) // 100 - 1) END,
+@query(f"""SELECT region_id, i, count(*) AS n FROM (SELECT region_id, unnest(range(CASE WHEN t.chrom_start < p.chrom_start THEN 0 ELSE (t.chrom_start - p.chrom_start) // 100 END,
   least((t.chrom_end - p.chrom_start) // 100, (p.chrom_end - p.chrom_start) // 100 - 1) + 1)) AS i FROM tags t JOIN peaks p ON {_OV} WHERE p.chrom_end - p.chrom_start >= 100) GROUP BY ALL""", "tags", "peaks")
 def a7_count_tags_bin_whole(spark: SparkSession, d: str) -> DataFrame:
     x = ct.count_tags_bin_whole(dv.peaks(spark, d), dv.tags(spark, d), 100)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -105,14 +106,19 @@ def json_path(c: Column, path: str, kind: str = "string", *, strict: bool = True
 
 
 def pretty_json(c: Column) -> Column:
-    """JSON text, indented."""
-    return F.to_json(F.parse_json(c), {"pretty": "true"})
+    """JSON text, indented, keys in the order given; NULL for NULL."""
 
+    @F.pandas_udf("string")
+    def indent(t):
+        return t.map(lambda s: json.dumps(json.loads(s), indent=2, ensure_ascii=False), na_action="ignore")
 
-def manifest_files(df: DataFrame, json: str = "json") -> DataFrame:
+    return indent(c)
+
+
+def manifest_files(df: DataFrame, column: str = "json") -> DataFrame:
     """Experiment manifests: ``eid, celltype, target, files`` with defaults, and an id made from the file locations if none is given."""
     file_ = "struct<location:string, format:string, info:map<string,string>, tags:array<string>, replication:int>"
-    x = df.select(F.from_json(json, f"struct<id:string, celltype:string, target:string, files:array<{file_}>>").alias("m"))
+    x = df.select(F.from_json(column, f"struct<id:string, celltype:string, target:string, files:array<{file_}>>").alias("m"))
     files = F.coalesce("m.files", F.array().cast(f"array<{file_}>"))
     return x.select(F.coalesce("m.id", F.md5(F.concat_ws("", F.transform(files, lambda f: f["location"])))).alias("eid"), F.coalesce("m.celltype", F.lit("")).alias("celltype"), F.coalesce("m.target", F.lit("")).alias("target"), files.alias("files"))
 
