@@ -133,21 +133,36 @@ class BitVector:
 
 # --- operators -----------------------------------------------------------------------------------
 def global_rank(df: DataFrame, order: list[Column | str], name: str = "rank", partition: list[str] = ()) -> DataFrame:
-    """Row numbers from 1 in one global order, without a window over the whole table.
+    """Row numbers from 1 in one global order (per ``partition``), without a window over the whole table.
 
-    Rows are range-partitioned and sorted by (``partition``, ``order``) and written; each range is
-    numbered by its own task, and the counts of the ranges before (one row per range and group) give
-    the offsets. End ``order`` with a unique column for a fixed result.
+    Rows are range-partitioned and sorted by (``partition``, ``order``) and written with their place in
+    their task; the counts of the tasks before (one row per task and group) give the offsets. End
+    ``order`` with a unique column for a fixed result.
     """
-    s = materialize(df.repartitionByRange(*partition, *order).sortWithinPartitions(*partition, *order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id()), "rank")
-    n = s.groupBy(*partition, "__p").agg(F.count(F.lit(1)).alias("__n"))
-    before = n.withColumn("__off", F.sum("__n").over(Window.partitionBy(*partition).orderBy("__p")) - F.col("__n")) if partition else n.withColumn("__off", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n"))
-    right = before.select(F.col("__p").alias("__q"), *[F.col(c).alias(f"__r{i}") for i, c in enumerate(partition)], "__off")
+    keys = [*partition, *order]
+    s = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    s = materialize(s, "rank")
+    n = s.groupBy(*partition, "__p").agg(F.count(F.lit(1)).alias("__n"), F.min("__i").alias("__lo"))
+    w = Window.partitionBy(*partition).orderBy("__p") if partition else Window.orderBy("__p")  # one row a task
+    right = n.select(F.col("__p").alias("__q"), *[F.col(c).alias(f"__r{i}") for i, c in enumerate(partition)], (F.sum("__n").over(w) - F.col("__n") - F.col("__lo")).alias("__off"))
     on = F.col("__p") == F.col("__q")
     for i, c in enumerate(partition):
         on = on & F.col(c).eqNullSafe(F.col(f"__r{i}"))
-    w = Window.partitionBy(*partition, "__p").orderBy("__i")
-    return s.withColumn("__rn", F.row_number().over(w)).join(right, on).withColumn(name, F.col("__rn") + F.col("__off")).select(*df.columns, name)
+    return s.join(right, on).withColumn(name, F.col("__i") + F.col("__off") + 1).select(*df.columns, name)
+
+
+def with_neighbours(df: DataFrame, order: list[str], columns: list[str], block: int = 100_000) -> DataFrame:
+    """The columns of the rows before and after in a global order, as ``prev_*`` and ``next_*``.
+
+    Rows are ranked, cut into blocks of ``block`` ranks, and the last and first row of a block are lent
+    to its neighbours, so that every window holds ``block`` + 2 rows.
+    """
+    r = global_rank(df, order, "__k").withColumn("__k", F.col("__k") - 1)
+    own = F.floor(F.col("__k") / F.lit(block))
+    x = r.withColumn("__b", F.explode(F.array_distinct(F.array(F.floor((F.col("__k") - 1) / F.lit(block)), own, F.floor((F.col("__k") + 1) / F.lit(block))))))
+    w = Window.partitionBy("__b").orderBy("__k")
+    x = x.withColumns({f"prev_{c}": F.lag(c).over(w) for c in columns} | {f"next_{c}": F.lead(c).over(w) for c in columns})
+    return x.where(F.col("__b") == own).drop("__b")
 
 
 def filter_fdr(df: DataFrame, p: str, alpha: float, tie: str) -> DataFrame:

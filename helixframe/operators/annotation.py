@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from helixframe.functions.stats import hyperquick
+from helixframe.functions.stats import hyperquick, with_neighbours
 from helixframe.runtime import materialize
 
 
@@ -39,17 +39,14 @@ def promoters(genes: DataFrame, up: int, down: int) -> DataFrame:
 def regulatory_domains(proms: DataFrame, ext: int, tie: str, *, every_third: bool = False) -> DataFrame:
     """Stretches on both sides of each promoter up to its neighbours, ``ext`` at most: the columns of ``proms``.
 
-    Neighbours are the rows before and after in (start, end, ``tie``) on the same chrom. Empty sides are
-    left out. ``every_third`` keeps the domains of every third promoter only, counted over the sorted
-    table, as the original interface returned them. Chroms with very many promoters sort with spill.
+    Neighbours are the rows before and after in (start, end, ``tie``) on the same chrom, found without a
+    window over a chrom. Empty sides are left out. ``every_third`` keeps the domains of every third
+    promoter only, counted over the sorted table, as the original interface returned them.
     """
-    w = Window.partitionBy("chrom").orderBy("chrom_start", "chrom_end", tie)
-    x = proms.withColumn("__le", F.lag("chrom_end").over(w)).withColumn("__rs", F.lead("chrom_start").over(w))
+    x = with_neighbours(proms, ["chrom", "chrom_start", "chrom_end", tie], ["chrom", "chrom_start", "chrom_end"])
+    x = x.withColumn("__le", F.when(F.col("prev_chrom") == F.col("chrom"), F.col("prev_chrom_end"))).withColumn("__rs", F.when(F.col("next_chrom") == F.col("chrom"), F.col("next_chrom_start")))
     if every_third:
-        from helixframe.functions.stats import global_rank
-
-        r = global_rank(x, ["chrom", "chrom_start", "chrom_end", tie], "__k")
-        x = r.where(F.pmod(F.col("__k") - 1, F.lit(3)) == 0)
+        x = x.where(F.pmod("__k", F.lit(3)) == 0)
     s, e = F.col("chrom_start"), F.col("chrom_end")
     left = F.when(F.col("__le").isNull(), F.greatest(s - ext, F.lit(0))).otherwise(F.least(s, F.greatest(s - ext, F.col("__le"))))
     right = F.when(F.col("__rs").isNull(), e + ext).otherwise(F.greatest(e, F.least(e + ext, F.col("__rs"))))

@@ -19,7 +19,7 @@ def tag_points(tags: DataFrame, unstranded: str = "error") -> DataFrame:
 
 def count_tags(regions: DataFrame, tags: DataFrame) -> DataFrame:
     """``region_id, n``: tags whose 5' end lies in the region, 0 included. Unstranded tags raise."""
-    j = range_join(regions.select("region_id", *BED3), tag_points(tags)).groupBy("region_id").agg(F.sum("b_n").alias("n"))
+    j = range_join(regions.select("region_id", *BED3), tag_points(tags), levels=(None, [0])).groupBy("region_id").agg(F.sum("b_n").alias("n"))
     return regions.select("region_id").join(j, "region_id", "left").select("region_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -43,7 +43,7 @@ def _bin_counts(regions: DataFrame, pairs: DataFrame, k: int, lo: Column, hi: Co
 
 def count_tags_bin(regions: DataFrame, tags: DataFrame, k: int) -> DataFrame:
     """5' ends per bin of ``k`` bases; leftover bases belong to the last bin; a region below ``k`` has no bins."""
-    pairs = range_join(regions.select("region_id", *BED3), tag_points(tags))
+    pairs = range_join(regions.select("region_id", *BED3), tag_points(tags), levels=(None, [0]))
     i = F.floor((F.col("b_chrom_start") - F.col("chrom_start")) / F.lit(k))
     return _bin_counts(regions.select("region_id", *BED3), pairs, k, i, i, points=True)
 
@@ -67,7 +67,7 @@ def query_base_map(regions: DataFrame, bases: DataFrame, sizes: DataFrame) -> Da
     """``region_id, hits``: one Boolean per base (reversed on the minus strand); NULL for unknown chroms."""
     pts = bases.select("chrom", F.col("pos").alias("chrom_start"), (F.col("pos") + 1).alias("chrom_end"))
     r = regions.select("region_id", *BED3, *(["strand"] if "strand" in regions.columns else [F.lit(None).cast("boolean").alias("strand")]))
-    g = range_join(r.select("region_id", *BED3), pts).groupBy("region_id").agg(F.collect_set("b_chrom_start").alias("on"))
+    g = range_join(r.select("region_id", *BED3), pts, levels=(None, [0])).groupBy("region_id").agg(F.collect_set("b_chrom_start").alias("on"))
     known = sizes.select(F.col("chrom").alias("__k")).distinct()
     x = r.join(g, "region_id", "left").join(known, F.col("chrom") == F.col("__k"), "left")
     on = F.map_from_arrays(F.coalesce("on", F.array().cast("array<bigint>")), F.transform(F.coalesce("on", F.array().cast("array<bigint>")), lambda v: F.lit(True)))
@@ -130,7 +130,7 @@ def cross_correlation(tags: DataFrame, shifts: list[int], smooth: int = 4) -> Da
     rev = t.where("NOT __st").select("chrom", F.col("chrom_end").alias("r")).distinct()
     a = rev.select("r", "chrom", (F.col("r") - hi).alias("chrom_start"), (F.col("r") - lo + 1).alias("chrom_end"))
     b = fwd.select("chrom", F.col("f").alias("chrom_start"), (F.col("f") + 1).alias("chrom_end"))
-    j = range_join(a, b).select("chrom", "r", (F.col("r") - F.col("b_chrom_start")).alias("delta"))
+    j = range_join(a, b, levels=(None, [0])).select("chrom", "r", (F.col("r") - F.col("b_chrom_start")).alias("delta"))
     fits = F.filter(F.array(*[F.lit(d) for d in shifts]), lambda d: F.abs(F.col("delta") - d) <= smooth)
     hit = j.withColumn("d", F.explode(fits)).select("d", "chrom", "r").distinct()
     g = hit.groupBy(F.col("d").alias("__d")).agg(F.count(F.lit(1)).alias("cc"))

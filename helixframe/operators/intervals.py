@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from helixframe.operators.periods import periods_and_gaps
+from helixframe.runtime import materialize
 
 #: Bin widths of the levels: 2**14 times powers of 8; the last holds everything.
 WIDTHS = [1 << (14 + 3 * i) for i in range(6)] + [1 << 62]
@@ -86,18 +87,19 @@ def _bins(df: DataFrame, at: Column, p: str) -> DataFrame:
     return x.withColumn(f"__{p}f", lo).withColumn("__b", F.explode(F.sequence(lo, hi))).withColumnRenamed("__l", f"__{p}l").withColumnRenamed("__b", f"__{p}b").drop("__lv")
 
 
-def range_join(a: DataFrame, b: DataFrame, *, within: bool = False, closed: bool = False, how: str = "inner", prefix: str = "b_", levels: tuple[list[int], list[int]] | None = None) -> DataFrame:
+def range_join(a: DataFrame, b: DataFrame, *, within: bool = False, closed: bool = False, how: str = "inner", prefix: str = "b_", levels: tuple[list[int] | None, list[int] | None] = (None, None)) -> DataFrame:
     """Pairs of intervals that overlap: all columns of ``a``, and those of ``b`` with ``prefix``.
 
     ``within``: b lies inside a. ``closed``: ends are inclusive, so touching counts. ``how``: ``inner``,
     or ``semi``: rows of ``a`` with a partner, each once per bin it meets one in (see
     :func:`intersect_bed`, which counts rows exactly). Half-open intervals of size 0 or less overlap
-    nothing; NULL chroms and borders match nothing.
+    nothing; NULL chroms and borders match nothing. ``levels``: the levels of a and b where they are
+    known (points have level 0), else they are looked up first.
     """
     prep = lambda d, p: d.withColumn(f"__{p}s", F.col("chrom_start").cast("bigint")).withColumn(f"__{p}z", F.col("chrom_end").cast("bigint") - (0 if closed else 1)).where(f"__{p}z >= __{p}s").withColumn("__lv", _level(F.col(f"__{p}s"), F.col(f"__{p}z") + 1))
     x = prep(a, "a")
     y = prep(b.select(*[F.col(c).alias(f"{prefix}{c}") for c in b.columns], "chrom_start", "chrom_end"), "b").drop("chrom_start", "chrom_end")
-    la, lb = levels or (_levels(x), _levels(y))
+    la, lb = (_levels(d) if v is None else v for d, v in zip((x, y), levels, strict=True))
     levels_of = lambda v: F.array(*[F.lit(i) for i in v]) if v else F.array().cast("array<int>")
     coarser = lambda v: F.filter(levels_of(v), lambda i: i > F.col("__lv"))
     not_finer = lambda v: F.filter(levels_of(v), lambda i: i >= F.col("__lv"))
@@ -137,7 +139,7 @@ def intersect_bed(a: DataFrame, b: DataFrame, *, negate: bool = False) -> DataFr
     every row of ``a`` with a partner is found as a candidate of few periods.
     """
     x = _with_id(a)
-    ids = range_join(x, merge_bed(b), how="semi").select("__id").distinct()
+    ids = range_join(x, materialize(merge_bed(b), "merged"), how="semi").select("__id").distinct()
     return x.join(ids, "__id", "left_anti" if negate else "left_semi").drop("__id")
 
 
@@ -168,7 +170,7 @@ def merge_bed_with(df: DataFrame, **aggs: Column) -> DataFrame:
     Periods are found first and joined back by range, so members of a large chrom need no ordered
     window over the chrom; each member lies in exactly one period.
     """
-    periods = merge_bed(df)
+    periods = materialize(merge_bed(df), "merged")
     pairs = range_join(df, periods, prefix="m_")
     g = pairs.groupBy("m_chrom", "m_chrom_start", "m_chrom_end").agg(*[c.alias(n) for n, c in aggs.items()])
     return g.select(F.col("m_chrom").alias("chrom"), F.col("m_chrom_start").alias("chrom_start"), F.col("m_chrom_end").alias("chrom_end"), *aggs)
@@ -185,8 +187,8 @@ def depth_segments(df: DataFrame) -> DataFrame:
     ev = x.select("chrom", F.explode(F.array(F.struct(F.col("chrom_start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("chrom_end").alias("pos"), F.lit(-1).alias("d")))).alias("e")).groupBy("chrom", "e.pos").agg(F.sum("e.d").alias("d"))
     # An event belongs to the period [start, end]; periods do not touch, so it is unique.
     points = ev.select("chrom", F.col("pos").alias("chrom_start"), (F.col("pos") + 1).alias("chrom_end"), "d")
-    spans = merge_bed(x).withColumn("chrom_end", F.col("chrom_end") + 1)
-    p = range_join(points, spans, prefix="m_")
+    spans = materialize(merge_bed(x), "merged").withColumn("chrom_end", F.col("chrom_end") + 1)
+    p = range_join(points, spans, prefix="m_", levels=([0], None))
     w = Window.partitionBy("chrom", "m_chrom_start").orderBy("chrom_start")
     s = p.select("chrom", "m_chrom_start", "chrom_start", F.lead("chrom_start").over(w).alias("chrom_end"), F.sum("d").over(w).alias("depth"))
     return s.where("chrom_end IS NOT NULL AND depth > 0").select("chrom", "chrom_start", "chrom_end", "depth")

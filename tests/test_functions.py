@@ -89,6 +89,12 @@ def test_ranks_fdr_windows(spark):
     df = spark.createDataFrame(rows, "i int, p double, g string").repartition(6)
     got = {r.i: r["rank"] for r in stats.global_rank(df, ["p", "i"]).collect()}
     assert got == {x[0]: k + 1 for k, x in enumerate(sorted(rows, key=lambda x: (x[1], x[0])))}
+    by = {r.i: r["rank"] for r in stats.global_rank(df, ["p", "i"], partition=["g"]).collect()}
+    for g in "ab":
+        assert {x[0]: by[x[0]] for x in rows if x[2] == g} == {x[0]: k + 1 for k, x in enumerate(sorted((x for x in rows if x[2] == g), key=lambda x: (x[1], x[0])))}
+    nb = {r.i: (r.prev_i, r.next_i) for r in stats.with_neighbours(df, ["p", "i"], ["i"], block=7).collect()}
+    s = [x[0] for x in sorted(rows, key=lambda x: (x[1], x[0]))]
+    assert nb == {v: (s[k - 1] if k else None, s[k + 1] if k + 1 < len(s) else None) for k, v in enumerate(s)}
     for alpha in (0.05, 0.6, 1.0):
         s = sorted(rows, key=lambda x: (x[1], x[0]))
         top = max((k for k, x in enumerate(s, 1) if x[1] <= k * alpha / len(s)), default=0)
