@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from helixframe.operators.periods import periods_and_gaps
 from helixframe.runtime import materialize
 
-#: Bin widths of the levels: 2**14 times powers of 8; the last holds everything.
-WIDTHS = [1 << (14 + 3 * i) for i in range(6)] + [1 << 62]
+#: Bins of the levels are powers of two wide, by steps of 8 from 2**14; the last holds everything.
+SHIFTS = [14, 17, 20, 23, 26, 29, 62]
 
 BED3 = ["chrom", "chrom_start", "chrom_end"]
 
@@ -68,22 +68,22 @@ def clip_bed(df: DataFrame, sizes: DataFrame, *, keep_inverted: bool = False) ->
 
 # --- range joins ---------------------------------------------------------------------------------
 def _level(s: Column, e: Column) -> Column:
-    c = F.lit(len(WIDTHS) - 1)
-    for i in reversed(range(len(WIDTHS) - 1)):
-        c = F.when(e - s <= WIDTHS[i], F.lit(i)).otherwise(c)
+    c = F.lit(len(SHIFTS) - 1)
+    for i in reversed(range(len(SHIFTS) - 1)):
+        c = F.when(e - s <= 1 << SHIFTS[i], F.lit(i)).otherwise(c)
     return c
 
 
 def _levels(df: DataFrame) -> list[int]:
-    """Levels that occur (at most ``len(WIDTHS)`` numbers)."""
+    """Levels that occur (at most ``len(SHIFTS)`` numbers)."""
     return sorted(r[0] for r in df.select("__lv").distinct().collect())
 
 
 def _bins(df: DataFrame, at: Column, p: str) -> DataFrame:
     """One row per (level, bin) of the interval's rows, for the levels in the array ``at``."""
     x = df.withColumn("__l", F.explode(at))
-    w = F.element_at(F.array(*[F.lit(v).cast("bigint") for v in WIDTHS]), F.col("__l") + 1)
-    lo, hi = F.floor(F.col(f"__{p}s") / w), F.floor(F.col(f"__{p}z") / w)
+    shift = f"CASE WHEN __l = {len(SHIFTS) - 1} THEN {SHIFTS[-1]} ELSE {SHIFTS[0]} + 3 * __l END"
+    lo, hi = (F.expr(f"shiftright({c}, {shift})") for c in (f"__{p}s", f"__{p}z"))
     return x.withColumn(f"__{p}f", lo).withColumn("__b", F.explode(F.sequence(lo, hi))).withColumnRenamed("__l", f"__{p}l").withColumnRenamed("__b", f"__{p}b").drop("__lv")
 
 

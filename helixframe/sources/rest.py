@@ -25,9 +25,10 @@ class Query:
         return Query(self.terms + other.terms, self.constraints + other.constraints)
 
     def url(self, base: str) -> str:
-        """``base/search/?searchTerm=...&...`` with the default constraints last."""
-        parts = [f"searchTerm={urllib.parse.quote_plus(' '.join(self.terms))}"] if self.terms else []
-        return f"{base.rstrip('/')}/search/?" + "&".join([*parts, *self.constraints, *DEFAULTS])
+        """``base/search/?searchTerm=...&...``; repeats count once, the default constraints come last."""
+        words = [urllib.parse.quote_plus(t) for t in sorted(set(self.terms))]
+        parts = ["searchTerm=" + "+".join(words)] if words else []
+        return f"{base.rstrip('/')}/search/?" + "&".join([*parts, *sorted(set(self.constraints)), *DEFAULTS])
 
 
 #: Constraints of every search.
@@ -39,11 +40,15 @@ def terms(*words: str) -> Query:
     return Query(terms=words)
 
 
-def _is(field_: str):
-    return lambda v: Query(constraints=(f"{field_}={urllib.parse.quote_plus(v)}",))
+# Names of the fields that the service searches.
+CELL, ORGANISM, ASSAY, EXPERIMENTS = "biosample_term_name", "replicates.library.biosample.donor.organism.scientific_name", "assay_term_name", "type=experiment"
 
 
-cell_is, organism_is, assay_is = _is("biosample_term_name"), _is("replicates.library.biosample.donor.organism.scientific_name"), _is("assay_term_name")
+def _is(field_: str, *more: str):
+    return lambda v: Query(constraints=(*more, f"{field_}={urllib.parse.quote_plus(v)}"))
+
+
+cell_is, organism_is, assay_is = _is(CELL), _is(ORGANISM), _is(ASSAY, EXPERIMENTS)
 
 
 def chunked(ids: list[str], size: int = 1000) -> list[list[str]]:

@@ -161,8 +161,8 @@ def test_gaf_owl_tab2_json(spark, tmp_path):
 
 
 def test_rest(spark):
-    q = rest.terms("a b") + rest.cell_is("K562") + rest.assay_is("ChIP-seq")
-    assert q.url("https://x.org/") == "https://x.org/search/?searchTerm=a+b&biosample_term_name=K562&assay_term_name=ChIP-seq&frame=object&limit=all"
+    q = rest.terms("b", "a", "b") + rest.cell_is("K562") + rest.assay_is("ChIP-seq") + rest.cell_is("K562")
+    assert q.url("https://x.org/") == "https://x.org/search/?searchTerm=a+b&assay_term_name=ChIP-seq&biosample_term_name=K562&type=experiment&frame=object&limit=all"
     assert [len(json.loads(b)["ids"]) for b in rest.lookup_bodies([str(i) for i in range(2500)])] == [1000, 1000, 500]
     assert rest.merge_lookups([{"a": 1}, {"a": 2, "b": 3}]) == {"a": 1, "b": 3}
     assert rest.aligned(["x", "y"], rest.parse_id_table("From\tTo\nx\t1\nx\t2\n")) == ["1", None]
