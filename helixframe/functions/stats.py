@@ -77,27 +77,39 @@ def lower_bound(values: np.ndarray, q) -> np.ndarray:
     return np.searchsorted(values, q, side="left")
 
 
+def _bandwidth(n: int, sd: float, iqr: float, span: float) -> float:
+    """Silverman's rule; data without spread get a share of their span."""
+    spread = min((x for x in (sd, iqr / 1.34) if x > 0), default=span)
+    return 0.9 * spread * n**-0.2
+
+
+def _smooth(mesh: np.ndarray, weights: np.ndarray, h: float) -> np.ndarray:
+    """Gaussian density at the mesh points of weights that lie on them."""
+    k = np.exp(-0.5 * ((mesh[:, None] - mesh[None, :]) / h) ** 2) / (h * math.sqrt(2 * math.pi))
+    return k @ weights / weights.sum()
+
+
+def _mesh(lo: float, hi: float, points: int) -> np.ndarray:
+    span = (hi - lo) or 1.0
+    return np.linspace(lo - span / 10, hi + span / 10, points)
+
+
 def gaussian_kde(values: np.ndarray, points: int) -> Callable[[np.ndarray], np.ndarray]:
     """Gaussian kernel density on a mesh, linear between its points and flat beyond its ends.
 
-    The bandwidth is Silverman's rule; the mesh spans the data and a tenth of its range on either side.
-    Values are binned linearly on the mesh first, so the cost is points squared at most.
+    The mesh spans the data and a tenth of its range on either side. Values are binned linearly on it
+    first, so the cost is points squared at most. Without finite values the density is NaN.
     """
     v = np.asarray(values, dtype=float)
     v = v[np.isfinite(v)]
     if not len(v):
         return lambda x: np.full(np.shape(x), math.nan)
-    span = (v.max() - v.min()) or 1.0
-    mesh = np.linspace(v.min() - span / 10, v.max() + span / 10, points)
-    sd = v.std(ddof=1) if len(v) > 1 else 0.0
-    iqr = np.subtract(*np.percentile(v, [75, 25])) / 1.34
-    h = 0.9 * (min(x for x in (sd, iqr, span) if x > 0) if max(sd, iqr) > 0 else span) * len(v) ** -0.2
-    step = mesh[1] - mesh[0]
-    at = (v - mesh[0]) / step
+    mesh = _mesh(v.min(), v.max(), points)
+    at = (v - mesh[0]) / (mesh[1] - mesh[0])
     i = np.clip(at.astype(int), 0, points - 2)
     w = np.bincount(i, 1 - (at - i), points) + np.bincount(i + 1, at - i, points)
-    k = np.exp(-0.5 * ((mesh[:, None] - mesh[None, :]) / h) ** 2) / (h * math.sqrt(2 * math.pi))
-    density = k @ w / len(v)
+    h = _bandwidth(len(v), v.std(ddof=1) if len(v) > 1 else 0.0, float(np.subtract(*np.percentile(v, [75, 25]))), (v.max() - v.min()) or 1.0)
+    density = _smooth(mesh, w, h)
     return lambda x: np.interp(x, mesh, density)
 
 
@@ -165,6 +177,29 @@ def with_neighbours(df: DataFrame, order: list[str], columns: list[str], block:
     return x.where(F.col("__b") == own).drop("__b")
 
 
+def density(df: DataFrame, value: str, points: int = 512) -> DataFrame:
+    """The Gaussian kernel density of a column at ``points`` mesh points: ``x, density``.
+
+    All finite values are binned linearly on the mesh by one aggregation; only the ``points`` weights and
+    five statistics reach the driver. Without finite values there is no row.
+    """
+    v = F.col(value).cast("double")
+    x = df.select(v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") != math.inf))
+    n, lo, hi, sd, q = x.agg(F.count("v"), F.min("v"), F.max("v"), F.stddev_samp("v"), F.percentile_approx("v", [0.25, 0.75], F.lit(10_000))).first()
+    spark = df.sparkSession
+    if not n:
+        return spark.createDataFrame([], "x double, density double")
+    mesh = _mesh(lo, hi, points)
+    at = (F.col("v") - F.lit(float(mesh[0]))) / F.lit(float(mesh[1] - mesh[0]))
+    i = F.least(F.lit(points - 2), F.greatest(F.lit(0), F.floor(at)))
+    w = np.zeros(points)
+    for r in x.select(i.alias("i"), (at - i).alias("f")).groupBy("i").agg(F.count(F.lit(1)).alias("c"), F.sum("f").alias("f")).collect():
+        w[r.i] += r.c - r.f
+        w[r.i + 1] += r.f
+    d = _smooth(mesh, w, _bandwidth(n, sd or 0.0, q[1] - q[0], (hi - lo) or 1.0))
+    return spark.createDataFrame(list(zip(mesh.tolist(), d.tolist(), strict=True)), "x double, density double")
+
+
 def filter_fdr(df: DataFrame, p: str, alpha: float, tie: str) -> DataFrame:
     """Benjamini-Hochberg: the rows up to the largest rank r (by p, then ``tie``) with p <= r alpha / n, with ``rank``.
 

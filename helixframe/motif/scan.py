@@ -102,6 +102,26 @@ def best_matches(seqs: DataFrame, key: str, seq: str, motifs: list[Motif], bg=pw
     return y.withColumnRenamed("k", key)
 
 
+def score_windows(seqs: DataFrame, key: str, seq: str, motif: Motif, bg=pwm.UNIFORM) -> DataFrame:
+    """Score of every window: ``key, start, score``. Too short, NULL and invalid sequences give no row."""
+    x = seqs.where(F.col(seq).isNotNull()).select(F.col(key).alias("k"), F.col(seq).alias("s"))
+    table = pwm.log_odds(motif.mat, bg)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, s in enumerate(b.column(1).to_pylist()):
+                try:
+                    w = pwm.window_scores(table, pwm.encode(s))
+                except ValueError:
+                    continue
+                if len(w):
+                    k = b.column(0).take(pa.array(np.full(len(w), i)))
+                    yield pa.RecordBatch.from_arrays([k, pa.array(np.arange(len(w))), pa.array(w)], names=["k", "start", "score"])
+
+    y = x.mapInArrow(run, f"k {x.schema['k'].dataType.simpleString()}, start bigint, score double")
+    return y.withColumnRenamed("k", key)
+
+
 def pairwise_distances(a: DataFrame, b: DataFrame | None = None, **options) -> DataFrame:
     """Distances of motif tables ``name, mat``: ``a, b, distance, same_strand, offset``; within ``a`` each pair once.
 

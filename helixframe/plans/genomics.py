@@ -337,6 +337,12 @@ def m9_filter_fdr(spark: SparkSession, d: str) -> DataFrame:
     return stats.filter_fdr(x, "p", 0.2, "peak_id").select("peak_id", "rank")
 
 
+@query()
+def m5_density(spark: SparkSession, d: str) -> DataFrame:
+    """Density of all event values at 512 points."""
+    return stats.density(read_table(spark, d, "events"), "value")
+
+
 # --- annotation ----------------------------------------------------------------------------------
 @query("""SELECT c_custkey::VARCHAR AS gene_id, count(DISTINCT o_orderkey) AS n_transcripts, coalesce(sum(n), 0)::BIGINT AS n_exons FROM customer LEFT JOIN orders ON o_custkey = c_custkey
   LEFT JOIN (SELECT l_orderkey, count(DISTINCT (l_partkey, l_partkey + (l_quantity * 10)::BIGINT)) AS n FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey GROUP BY c_custkey""")
@@ -413,6 +419,11 @@ def t12_motif_matches(spark: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", "motif", "n_windows", F.round("max_score", 6).alias("max_score"), "n_hits")
 
 
+@query("SELECT doc_id, start, round(sc, 6) AS score FROM win WHERE strand AND motif = 'tata'", "seqs", "odds")
+def g6_window_scores(spark: SparkSession, d: str) -> DataFrame:
+    return scan.score_windows(dv.sequences(spark, d), "doc_id", "seq", MOTIFS[0]).select("doc_id", "start", F.round("score", 6).alias("score"))
+
+
 _CUT = {m.name: scan.cutoff_motif(m, 1e-3) for m in MOTIFS}
 
 
@@ -470,3 +481,17 @@ def f7_json_path(spark: SparkSession, d: str) -> DataFrame:
 def s9_bed_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Records written as lines and parsed again."""
     return codecs.decode(codecs.encode(dv.tags(spark, d), "bed"), "bed")
+
+
+@query("SELECT chrom, chrom_start, chrom_end, bed_score::DOUBLE AS value FROM bed WHERE bed_score IS NOT NULL")
+def s11_bedgraph_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Records with a value written as lines and parsed again."""
+    x = dv.tags(spark, d).where("score IS NOT NULL").withColumn("value", F.col("score").cast("double"))
+    return codecs.decode(codecs.encode(x, "bedgraph"), "bedgraph")
+
+
+@query("SELECT doc_id, qual[1] AS first_symbol, length(qual) AS n, ascii(qual[1]) - 33 AS first_score, round(pow(10.0::DOUBLE, -(ascii(qual[1]) - 33) / 10.0::DOUBLE), 9) AS first_error FROM reads", "reads")
+def f5_quality_scores(spark: SparkSession, d: str) -> DataFrame:
+    x = dv.reads(spark, d).withColumn("q", sq.quality_scores(F.col("qual")))
+    q = F.get("q", F.lit(0))
+    return x.select("doc_id", F.substring("qual", 1, 1).alias("first_symbol"), F.size("q").cast("bigint").alias("n"), q.alias("first_score"), F.round(sq.error_probability(q), 9).alias("first_error"))

@@ -69,6 +69,16 @@ def test_kernels(spark):
     assert stats.gap_penalty("cubic", 0.1)(2, 4) == pytest.approx(0.2) and stats.COMBINE["l2"](np.array([3.0, 4.0])) == pytest.approx(math.sqrt(12.5))
 
 
+def test_density(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=3000)
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,), (math.nan,), (math.inf,)], "v double").repartition(5)
+    got = sorted((r.x, r.density) for r in stats.density(df, "v", 128).collect())
+    want = stats.gaussian_kde(v, 128)
+    assert [d for _, d in got] == pytest.approx(want(np.array([x for x, _ in got])).tolist(), rel=0.01, abs=1e-4)
+    assert stats.density(df.limit(0), "v").count() == 0
+
+
 def long_matrix(spark, m):
     return spark.createDataFrame([(i, j, float(v)) for i, r in enumerate(m) for j, v in enumerate(r)], "r int, c int, v double")
 

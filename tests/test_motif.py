@@ -111,6 +111,8 @@ def test_spark_scan(spark):
             at, sc = pwm.find_hits(m, q, cm.cutoff)
             want += [(c, s + i, s + i + 10, "m", scan.affinity(1 - pwm.cdf(cm.dist, x)), st) for i, x in zip(at.tolist(), sc)]
     assert got == sorted(want) and got
+    w = scan.score_windows(spark.createDataFrame(rows, "chrom string, chrom_start bigint, seq string"), "chrom", "seq", pwm.Motif("m", M)).where("chrom = 'c2'").orderBy("start").collect()
+    assert [r.score for r in w] == pytest.approx(pwm.scores(M, rows[1][2]).tolist()) and w[-1].start == 290
     assert scan.affinity(1e-5) == 500 and scan.affinity(0) == 1000
 
 
