@@ -43,5 +43,6 @@ def explode_packed(df: DataFrame, key: str, fields: list[str], *, min_values: in
     NULL keys are kept; an empty table gives no row.
     """
     per = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), split_packed(F.col(f), delimiters).alias("vals")) for f in fields]))
-    x = df.select(F.col(key), per.alias("f")).where(F.size("f.vals") >= min_values)
-    return x.select(key, "f.field_name", F.posexplode("f.vals").alias("p", "val")).select(key, "field_name", (F.col("p") + 1).alias("pos"), "val")
+    x = df.select(F.col(key).alias("__hf_k"), per.alias("__hf_f")).where(F.size("__hf_f.vals") >= min_values)
+    y = x.select("__hf_k", "__hf_f.field_name", F.posexplode("__hf_f.vals").alias("p", "val"))
+    return y.select(F.col("__hf_k").alias(key), "field_name", (F.col("p") + 1).alias("pos"), "val")

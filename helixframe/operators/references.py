@@ -36,12 +36,12 @@ def orphan_references(refs: DataFrame, parents: DataFrame, *, salts: int = 32, m
     the reference), ``deleted`` (deleted not after it). Rows with a NULL ``ref_id`` are no reference.
     With a NULL ``ref_at`` only ``missing`` can be told, and the month is NULL.
     """
-    r = refs.where(F.col("ref_id").isNotNull())
+    r = refs.select("table_name", "row_id", "ref_id", "ref_at").where(F.col("ref_id").isNotNull())
     hot = F.broadcast(heavy_keys(r, F.col("ref_id"), min_share))
     salt = F.pmod(F.xxhash64("table_name", "row_id"), F.lit(salts)).cast("int")
     left = r.join(hot, F.col("ref_id") == F.col("hk"), "left").withColumn("salt", F.when(F.col("hk").isNull(), F.lit(0)).otherwise(salt)).drop("hk")
     spread = F.when(F.col("hk").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(salts - 1)))
-    right = parents.join(hot, F.col("pk") == F.col("hk"), "left").withColumn("ps", F.explode(spread)).drop("hk")
+    right = parents.select("pk", "born", "died").join(hot, F.col("pk") == F.col("hk"), "left").withColumn("ps", F.explode(spread)).drop("hk")
     j = left.hint("merge").join(right, (F.col("ref_id") == F.col("pk")) & (F.col("salt") == F.col("ps")), "left")
     kind = F.when(F.col("pk").isNull(), "missing").when(F.col("born") > F.col("ref_at"), "late").when(F.col("died") <= F.col("ref_at"), "deleted")
     return j.select("table_name", "row_id", "ref_id", kind.alias("ref_kind"), F.date_format("ref_at", "yyyy-MM").alias("ref_month")).where("ref_kind IS NOT NULL")

@@ -50,10 +50,10 @@ def aggregate_by_key(df: DataFrame, key: str, aggs: dict[str, tuple[Column, Colu
     shuffle. NULL keys form one group, treated as heavy. The column ``is_candidate`` tells the plan
     that made the row. An empty input gives no row.
     """
-    heavy = F.broadcast(heavy_keys(df, F.col(key), min_share))
+    heavy = F.broadcast(heavy_keys(df, F.col(key), min_share).withColumnRenamed("hk", "__hf_hk"))
     flagged = df.withColumn("__hf_null", F.col(key).isNull())
-    mine = flagged.join(heavy, F.col(key) == F.col("hk"), "left_semi").unionByName(flagged.where("__hf_null"))
-    rest = flagged.where(~F.col("__hf_null")).join(heavy, F.col(key) == F.col("hk"), "left_anti")
+    mine = flagged.join(heavy, F.col(key) == F.col("__hf_hk"), "left_semi").unionByName(flagged.where("__hf_null"))
+    rest = flagged.where(~F.col("__hf_null")).join(heavy, F.col(key) == F.col("__hf_hk"), "left_anti")
     k = F.col(key).alias("__hf_key")
     salted = mine.withColumn("__hf_salt", F.spark_partition_id() % salts)  # one partial row per task and key
     part = salted.groupBy(k, "__hf_salt").agg(*[p.alias(n) for n, (p, _) in aggs.items()])
@@ -88,8 +88,8 @@ def join_by_key(left: DataFrame, right: DataFrame, key: str, *, how: str = "inne
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
     r = right.select(F.col(key).alias("__hf_rk"), *[F.col(c).alias(f"{c}_right" if c in left.columns else c) for c in right.columns if c != key])
-    heavy = F.broadcast(heavy_keys(left, F.col(key), min_share))
-    isin = lambda d, c, kind: d.join(heavy, d[c] == F.col("hk"), kind)
+    heavy = F.broadcast(heavy_keys(left, F.col(key), min_share).withColumnRenamed("hk", "__hf_hk"))
+    isin = lambda d, c, kind: d.join(heavy, d[c] == F.col("__hf_hk"), kind)
     lh, lr = isin(left, key, "left_semi"), isin(left, key, "left_anti")
     rh = isin(r, "__hf_rk", "left_semi")
     if rh.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:

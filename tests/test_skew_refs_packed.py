@@ -37,6 +37,8 @@ def test_threshold_is_exact(spark):
 def test_join(spark, how, most):
     ks = keys(600)
     left = spark.createDataFrame([(k, i) for i, k in enumerate(ks)], "k string, v int")
+    clash = left.withColumn("hk", F.lit("a"))
+    assert skew.aggregate_by_key(clash, "k", {"n": (F.count(F.lit(1)), F.sum("n"))}, min_share=0.1).agg(F.sum("n")).first()[0] == 600
     right = spark.createDataFrame([("a", 1), ("a", 2), ("k3", 3), (None, 4)], "k string, v int")
     got = sorted(map(tuple, skew.join_by_key(left, right, "k", how=how, max_broadcast_rows=most, min_share=0.1).collect()), key=repr)
     r = {"a": [1, 2], "k3": [3]}
@@ -48,7 +50,7 @@ def test_orphans(spark):
     t = lambda s: dt.datetime.fromisoformat(s)
     parents = spark.createDataFrame([(1, t("2010-01-01"), None), (1, t("2010-01-01"), None), (2, t("2010-01-01"), t("2012-05-05")), (3, None, None), (None, t("2010-01-01"), None)], "id bigint, c timestamp, x timestamp")
     rows = [("a", i, 1, t("2011-01-01")) for i in range(300)] + [("a", 900, 1, t("2009-01-01")), ("a", 901, 1, t("2010-01-01")), ("b", 1, 2, t("2012-05-05")), ("b", 2, 2, t("2012-05-04")), ("b", 3, 7, t("2000-03-01")), ("b", 4, None, t("2000-03-01")), ("b", 5, 7, None), ("b", 6, 3, t("1990-01-01")), ("b", 7, 1, None)]
-    refs = spark.createDataFrame(rows, "table_name string, row_id bigint, ref_id bigint, ref_at timestamp")
+    refs = spark.createDataFrame(rows, "table_name string, row_id bigint, ref_id bigint, ref_at timestamp").withColumns({c: F.lit(0) for c in ("hk", "pk", "salt", "born", "ref_kind")})
     got = sorted(map(tuple, rf.orphan_references(refs, rf.parent_validity(parents, "id", "c", "x"), min_share=0.2, salts=5).collect()), key=repr)
     assert got == sorted([("a", 900, 1, "late", "2009-01"), ("b", 1, 2, "deleted", "2012-05"), ("b", 3, 7, "missing", "2000-03"), ("b", 5, 7, "missing", None)], key=repr)
     assert rf.orphan_references(refs.limit(0), rf.parent_validity(parents, "id", "c", "x")).count() == 0
