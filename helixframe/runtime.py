@@ -40,6 +40,12 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; DataFrames that still read them become unusable."""
+    if (path := _FOLDERS.get(spark.sparkContext.applicationId)) is not None:
+        _remove(spark, path)
+
+
 class Table:
     """A written intermediate table: ``df`` reads it, ``drop()`` deletes it."""
 
