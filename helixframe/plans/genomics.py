@@ -392,9 +392,12 @@ def h2_enrichment_counts(spark: SparkSession, d: str) -> DataFrame:
     return an.enrichment(*_annotated(spark, d)).select("term", "x", "m", "n", "total")
 
 
-@query()
+@query("""SELECT term, x, m, n, total, round(x * total / (m * n)::DOUBLE, 6) AS fold_change, round(sum(exp(lgamma(m + 1) - lgamma(k + 1) - lgamma(m - k + 1) + lgamma(total - m + 1) - lgamma(n - k + 1) - lgamma(total - m - n + k + 1)
+  - lgamma(total + 1) + lgamma(n + 1) + lgamma(total - n + 1))), 6) AS p_value FROM (SELECT *, unnest(range(x, least(m, n) + 1)) AS k FROM (SELECT term, count(f) AS x, count(*) AS m, (SELECT count(DISTINCT item) FROM a WHERE item IN (SELECT f FROM fg)) AS n,
+  (SELECT count(DISTINCT item) FROM a) AS total FROM (SELECT DISTINCT item, term FROM a) LEFT JOIN fg ON item = f GROUP BY term HAVING count(f) > 0)) WHERE total - m - n + k >= 0 GROUP BY ALL""", "annot")
 def h2_enrichment(spark: SparkSession, d: str) -> DataFrame:
-    return an.enrichment(*_annotated(spark, d))
+    x = an.enrichment(*_annotated(spark, d))
+    return x.select("term", "x", "m", "n", "total", F.round("fold_change", 6).alias("fold_change"), F.round("p_value", 6).alias("p_value"))
 
 
 # --- motifs --------------------------------------------------------------------------------------
