@@ -170,8 +170,7 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (head, block, sd descending): paths by a stack of open intervals."""
     key, stack = None, []
     for b in batches:
-        head, block, v, path = [], [], [], []
-        dep: list[int] = []
+        out, size = [], 0
         for h, k, x, ud, sd, d, own in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
             if (h, k) != key:
                 key, stack = (h, k), []
@@ -180,8 +179,18 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             here = f"{stack[-1][1]}/{x}" if stack else str(x)
             stack.append((ud, here))
             if own:
-                head.append(h), block.append(k), v.append(x), dep.append(d), path.append(here)
-        yield pa.RecordBatch.from_arrays([pa.array(head, pa.int64()), pa.array(block, pa.int64()), pa.array(v, pa.int64()), pa.array(dep, pa.int64()), pa.array(path, pa.string())], names=["head", "block", "v", "depth", "rel"])
+                out.append((h, k, x, d, here))
+                size += len(here)
+            if size > 16_000_000:  # deep trees have long paths
+                yield _path_batch(out)
+                out, size = [], 0
+        yield _path_batch(out)
+
+
+def _path_batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * 5
+    kinds = [pa.int64()] * 4 + [pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["head", "block", "v", "depth", "rel"])
 
 
 def hierarchy(terms: DataFrame, links: DataFrame, *, block: int = BLOCK, core_links: int = CORE_LINKS) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Byte classes and states.
@@ -28,6 +29,8 @@ NEXT = np.array(
     ],
     dtype=np.uint8,
 )
+#: Bytes of records that are tokenized together; a longer record goes alone.
+STREAM = 4_000_000
 _CLASS = np.full(256, OTHER, dtype=np.uint8)
 _CLASS[9], _CLASS[34] = TAB, QUOTE
 
@@ -101,8 +104,12 @@ def tokenize(lines: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def _tokenizer(passed: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fields, error = tokenize(b.column("__hf_line"))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in passed], fields, pa.array(error)], names=[*passed, "fields", "quote_error_at"])
+            line = b.column("__hf_line")
+            part = np.cumsum(pc.fill_null(pc.binary_length(line), 0).to_numpy(zero_copy_only=False)) // STREAM
+            cuts = np.flatnonzero(np.diff(part)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+                fields, error = tokenize(line.slice(lo, hi - lo))
+                yield pa.RecordBatch.from_arrays([*[b.column(c).slice(lo, hi - lo) for c in passed], fields, pa.array(error)], names=[*passed, "fields", "quote_error_at"])
 
     return run
 

@@ -55,6 +55,15 @@ def test_states_do_not_depend_on_chunks():
     assert len(reject.byte_states(cls[:0])) == 0
 
 
+def test_streams_are_cut_between_records(spark, monkeypatch):
+    monkeypatch.setattr(reject, "STREAM", 10)
+    lines = ["a\t1\t2", "b" * 50 + "\t1\t2", '"c\t1', "d\t3\t4"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(lines)], names=["k0", "__hf_line"])
+    out = pa.Table.from_batches(list(reject._tokenizer(["k0"])(iter([batch]))))
+    assert out.column("k0").to_pylist() == [0, 1, 2, 3] and out.column("quote_error_at").to_pylist() == [-1, -1, 4, -1]
+    assert out.column("fields").to_pylist()[3] == ["d", "3", "4"]
+
+
 def test_offsets_nulls_and_slices():
     arr = pa.array(["zz", None, 'a\t"b"c', '"open', ""])[1:]
     fields, err = reject.tokenize(arr)
