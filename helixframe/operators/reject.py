@@ -16,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from helixframe.sources.formats import gaf_columns
+
 # Byte classes and states.
 TAB, QUOTE, OTHER, END = range(4)
 START, PLAIN, QUOTED, CLOSED, BROKEN = range(5)
@@ -172,6 +174,14 @@ def load_intervals(parsed: DataFrame, fmt_col: str = "fmt", keep: list[str] = ("
         F.when(np_, f(10).try_cast("int")).alias("peak"))
 
 
+def load_annotations(parsed: DataFrame, fmt_col: str = "fmt", keep: list[str] = ("line_id",)) -> DataFrame:
+    """The readable GAF records as typed rows: the 17 columns and ``go_number``.
+
+    Empty fields are NULL; columns of several values are arrays, split at ``|`` without empty values.
+    """
+    return parsed.where(F.col("reason").isNull() & (F.col(fmt_col) == "gaf")).select(*keep, fmt_col, *gaf_columns("fields"))
+
+
 def load_files(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     """Lines of raw files (gzip is read by its suffix) parsed by :func:`parse_lines`, with the file's path."""
     x = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("file_name"), F.lit(fmt).alias("fmt"), F.col("value").alias("line"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from helixframe.operators import hierarchy as hi, packed, periods, references as rf, reject, skew
 from helixframe.runtime import read_table
+from helixframe.sources.formats import GAF_COLUMNS
 
 PACKED_FIELDS = ["gaf_db_ref", "gaf_with_or_from", "gaf_synonym", "gaf_taxon"]
 
@@ -19,6 +20,11 @@ def p1_loaded(spark: SparkSession, d: str) -> DataFrame:
     return reject.load_intervals(reject.parse_lines(read_table(spark, d, "raw_lines")))
 
 
+def p1_loaded_gaf(spark: SparkSession, d: str) -> DataFrame:
+    """The readable GAF lines as typed rows."""
+    return reject.load_annotations(reject.parse_lines(read_table(spark, d, "raw_lines")))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return skew.dominant_keys(read_table(spark, d, "bed"), "chrom", 25, 1000)
 
@@ -77,7 +83,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return packed.explode_packed(read_table(spark, d, "gaf"), "gaf_id", PACKED_FIELDS, min_values=2)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_loaded, p3_found, p3_per_chrom, p3_join_tracks, p4_found, p5_found, p5_report, p6_found, p6_descendants, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_loaded, p1_loaded_gaf, p3_found, p3_per_chrom, p3_join_tracks, p4_found, p5_found, p5_report, p6_found, p6_descendants, p7_found)}
 
 _FIELD = r'''(?:"(?:[^"]|"")*"|[^"\t][^\t]*|)'''
 _LINES = rf"""
@@ -121,6 +127,9 @@ _VALUE = r'''(?:"(?:[^"]|"")*"[^|;,\t]*|[^|;,\t]*)'''
 _P7 = " UNION ALL ".join(
     f"SELECT gaf_id, '{f}' AS field_name, regexp_extract_all('|' || {f}, '[|;,\\t] *({_VALUE})', 1) AS raw FROM gaf WHERE {f} IS NOT NULL" for f in PACKED_FIELDS)
 
+_GAF = ", ".join(
+    f"list_filter(string_split(f[{i}], '|'), lambda x: x <> '') AS {c}" if c in ("qualifier", "db_ref", "with_or_from", "synonym", "taxon", "annotation_extension") else f"nullif(f[{i}], '') AS {c}" for i, c in enumerate(GAF_COLUMNS, 1))
+
 ORACLE = {
     "p1_found": f"WITH {_LINES} SELECT line_id, reason FROM res WHERE reason IS NOT NULL",
     "p1_loaded": f"""WITH {_LINES} SELECT line_id, fmt, f[1] AS chrom, f[2]::BIGINT AS chrom_start, f[3]::BIGINT AS chrom_end,
@@ -128,6 +137,7 @@ ORACLE = {
       CASE WHEN np THEN try_cast(f[7] AS DOUBLE) END AS signal, CASE WHEN np AND try_cast(f[8] AS DOUBLE) >= 0 THEN try_cast(f[8] AS DOUBLE) END AS pvalue,
       CASE WHEN np AND try_cast(f[9] AS DOUBLE) >= 0 THEN try_cast(f[9] AS DOUBLE) END AS qvalue, CASE WHEN np THEN try_cast(f[10] AS INTEGER) END AS peak
       FROM (SELECT *, fmt = 'narrowpeak' AND n >= 10 AS np FROM res) WHERE reason IS NULL AND fmt IN ('bed', 'narrowpeak')""",
+    "p1_loaded_gaf": f"WITH {_LINES} SELECT line_id, fmt, {_GAF}, substr(f[5], 4)::BIGINT AS go_number FROM res WHERE reason IS NULL AND fmt = 'gaf'",
     "p3_found": "SELECT chrom FROM bed WHERE chrom IS NOT NULL GROUP BY chrom HAVING count(*) * 1000 >= 25 * (SELECT count(*) FROM bed)",
     "p3_per_chrom": "SELECT chrom, count(*) AS n, sum(chrom_end - chrom_start)::BIGINT AS bases, min(chrom_start) AS first_start FROM bed GROUP BY chrom",
     "p3_join_tracks": "SELECT track_id, assay, count(*) AS n FROM bed LEFT JOIN tracks USING (track_id) GROUP BY ALL",

@@ -43,13 +43,18 @@ def read_gtf(spark: SparkSession, path: str) -> DataFrame:
 
 
 # --- ontology ------------------------------------------------------------------------------------
+def gaf_columns(fields: str) -> list[Column]:
+    """The 17 columns from an array of 17 fields, and the number of the GO id; empty ones are NULL, lists are split at ``|``."""
+    one = lambda i: F.nullif(F.get(fields, F.lit(i)), F.lit(""))
+    cols = [(F.filter(F.split(F.coalesce(one(i), F.lit("")), r"\|"), lambda v: v != "") if c in _GAF_LISTS else one(i)).alias(c) for i, c in enumerate(GAF_COLUMNS)]
+    return [*cols, F.regexp_extract(F.get(fields, F.lit(4)), r"GO:(\d+)", 1).try_cast("bigint").alias("go_number")]
+
+
 def gaf_records(lines: DataFrame) -> DataFrame:
     """The 17 columns of annotation lines, lists split at ``|``; comments and blank lines are left out anywhere."""
     x = lines.where(~F.col("value").rlike(r"\A(!|\s*\z)")).withColumn("f", F.split("value", "\t"))
     x = x.withColumn("f", F.when(F.size("f") == 17, F.col("f")).otherwise(F.raise_error(F.concat(F.lit("not 17 columns: "), F.col("value"))).cast("array<string>")))
-    one = lambda i: F.nullif(F.get("f", F.lit(i)), F.lit(""))
-    cols = [(F.filter(F.split(F.coalesce(one(i), F.lit("")), r"\|"), lambda v: v != "") if c in _GAF_LISTS else one(i)).alias(c) for i, c in enumerate(GAF_COLUMNS)]
-    return x.select(*cols).withColumn("go_number", F.regexp_extract("go_id", r"GO:(\d+)", 1).try_cast("bigint"))
+    return x.select(*gaf_columns("f"))
 
 
 def read_gaf(spark: SparkSession, path: str) -> DataFrame:

@@ -101,3 +101,33 @@ def test_files(spark, tmp_path):
     x = reject.load_files(spark, str(p), "bed")
     assert sorted(r.reason or "" for r in x.collect()) == ["", "value"]
     assert x.where(F.col("file_name").endswith("a.bed")).count() == 2
+
+
+def test_gaf_lines_are_typed_rows(spark):
+    f = ["D", "Q1", "sym", "", "GO:0001234", "r1|r2", "IEA", "", "P", '"na\tme"', "s1||s2", "protein", "taxon:1", "20200101", "by", "", ""]
+    rows = [(1, "gaf", "\t".join(f)), (2, "gaf", "\t".join(f[:16])), (3, "bed", "c\t1\t2"), (4, "gaf", "\t".join(f) + "\r"), (5, "gaf", "!c")]
+    p = reject.parse_lines(spark.createDataFrame(rows, "line_id bigint, fmt string, line string"))
+    got = {r.line_id: r for r in reject.load_annotations(p).collect()}
+    assert set(got) == {1, 4}
+    r = got[1]
+    assert (r.db_id, r.go_id, r.go_number, r.name, r.gene_product_id) == ("Q1", "GO:0001234", 1234, "na\tme", None)
+    assert (r.db_ref, r.synonym, r.qualifier, r.taxon) == (["r1", "r2"], ["s1", "s2"], [], ["taxon:1"])
+    assert got[4].gene_product_id is None
+
+
+def test_every_record_is_loaded_or_set_aside(spark):
+    import os
+
+    import pytest
+
+    from helixframe.plans import problems
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    count = lambda x: {r.fmt: r["count"] for r in x.groupBy("fmt").count().collect()}
+    lines = spark.read.parquet(f"{d}/raw_lines.parquet")
+    records, aside = count(reject.parse_lines(lines)), count(problems.p1_found(spark, d).join(lines, "line_id"))
+    loaded = count(problems.p1_loaded(spark, d).select("fmt").union(problems.p1_loaded_gaf(spark, d).select("fmt")))
+    assert set(records) == {"bed", "narrowpeak", "gaf"}
+    assert records == {k: loaded.get(k, 0) + aside.get(k, 0) for k in records}
