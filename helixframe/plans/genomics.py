@@ -242,6 +242,25 @@ def a18_fragment_length(spark: SparkSession, d: str) -> DataFrame:
     return ct.fragment_length(dv.stranded_tags(spark, d), 50, 130, 20)
 
 
+#: All shifts of the reference over this range: its step is fixed at 2. The two queries above thin them to every tenth.
+_ALL_SHIFTS = list(range(50, 131, 2))
+SQL["cc_all"] = f"""f AS (SELECT DISTINCT chrom, chrom_start AS f FROM st WHERE strand), r AS (SELECT DISTINCT chrom, chrom_end AS r FROM st WHERE NOT strand), ds AS (SELECT unnest({_ALL_SHIFTS}) AS d),
+ near AS (SELECT chrom, r, r - delta AS f, delta FROM r, (SELECT unnest(range(46, 135)) AS delta)), pairs AS (SELECT chrom, r, delta FROM near SEMI JOIN f USING (chrom, f)),
+ hit AS (SELECT DISTINCT d, chrom, r FROM pairs JOIN ds ON abs(delta - d) <= 4)"""
+
+
+@query("SELECT ds.d::INTEGER AS d, count(r) AS cc FROM ds LEFT JOIN hit USING (d) GROUP BY ds.d", "st", "cc_all")
+def a19_cross_correlation_all(spark: SparkSession, d: str) -> DataFrame:
+    """The cross-correlation at every shift of the reference."""
+    return ct.cross_correlation(dv.stranded_tags(spark, d), _ALL_SHIFTS)
+
+
+@query("SELECT d::INTEGER AS fragment_length FROM (SELECT d, count(r) AS c FROM ds LEFT JOIN hit USING (d) GROUP BY d) ORDER BY c DESC, d DESC LIMIT 1", "st", "cc_all")
+def a18_fragment_length_all(spark: SparkSession, d: str) -> DataFrame:
+    """The fragment length over every shift of the reference."""
+    return ct.fragment_length(dv.stranded_tags(spark, d), 50, 130)
+
+
 @query(f"SELECT region_id, coalesce(sum(t.score * (t.chrom_end - t.chrom_start)), 0)::DOUBLE AS score FROM peaks p LEFT JOIN tags t ON {_OV} GROUP BY region_id", "tags", "peaks")
 def a20_interval_scores(spark: SparkSession, d: str) -> DataFrame:
     return ct.interval_scores(dv.peaks(spark, d), dv.tags(spark, d).select(*iv.BED3, F.col("score").cast("double").alias("value")))

@@ -147,6 +147,16 @@ def test_closed_and_correlation(spark):
     assert ct.fragment_length(df, 10, 38).collect()[0][0] == max(want, key=lambda d: (want[d], d))
 
 
+def test_fragment_length_query_tries_every_shift(spark, tmp_path):
+    from helixframe.plans import genomics
+
+    rows = [(i, "a", 1000 * i, 1000 * i + 30, None, None, True) for i in range(9)] + [(9 + i, "a", 1000 * i + 54, 1000 * i + 84, None, None, False) for i in range(9)]
+    spark.createDataFrame(rows, "rec_id bigint, chrom string, chrom_start bigint, chrom_end bigint, bed_name string, bed_score int, bed_strand boolean").write.parquet(f"{tmp_path}/bed.parquet")
+    got = {x.d: x.cc for x in genomics.QUERIES["a19_cross_correlation_all"](spark, str(tmp_path)).collect()}
+    assert got == {d: 9 if abs(d - 84) <= 4 else 0 for d in range(50, 131, 2)}
+    assert genomics.QUERIES["a18_fragment_length_all"](spark, str(tmp_path)).collect()[0][0] == 88
+
+
 def test_peaks_and_histogram(spark):
     p = bed(spark, [(0, 10), (5, 15), (1000, 1011), (-9, -4)])
     assert sorted((x.chrom_start, x.chrom_end, x.score) for x in ct.peak_cluster(p, 10, 2).collect()) == [(-17, 20, 3)]
