@@ -132,9 +132,25 @@ def mix(items: DataFrame, targets: DataFrame, *, key: str = "doc_id", source: st
     return out.where("copies > 0").select(F.col("k").alias(key), F.col("source").alias(source), F.col("n").alias(size), "copies")
 
 
-def shares(mixed: DataFrame, targets: DataFrame, *, source: str = "source", size: str = "n_tokens") -> DataFrame:
-    """Per target: ``source, target_share, documents, copies, tokens, actual_share`` (0 where nothing was there)."""
-    g = mixed.groupBy(F.col(source).alias("s")).agg(F.count(F.lit(1)).alias("documents"), F.sum("copies").alias("copies"), F.sum(F.col("copies") * F.col(size)).alias("tokens"))
+def available(items: DataFrame, targets: DataFrame, *, source: str = "source", size: str = "n_tokens") -> DataFrame:
+    """Per target source: ``source, available_documents, available_tokens`` of ``items`` (sources without any have no row)."""
+    t = targets.select(F.col("source").alias("__t")).distinct()
+    x = items.select(F.col(source).alias("source"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("n")).join(t, F.col("source") == F.col("__t"), "left_semi")
+    return x.groupBy("source").agg(F.count(F.lit(1)).alias("available_documents"), F.sum("n").alias("available_tokens"))
+
+
+def shares(mixed: DataFrame, targets: DataFrame, items: DataFrame | None = None, *, source: str = "source", size: str = "n_tokens") -> DataFrame:
+    """Per target: ``source, target_share, documents, copies, tokens, actual_share`` (0 where nothing was there).
+
+    With the ``items`` the mix was drawn from also ``available_documents, available_tokens``,
+    ``used_tokens`` (each document of the mix once) and ``used_share``, the used part of the available.
+    """
+    g = mixed.groupBy(F.col(source).alias("s")).agg(F.count(F.lit(1)).alias("documents"), F.sum("copies").alias("copies"), F.sum(F.col("copies") * F.col(size)).alias("tokens"), F.sum(size).alias("used_tokens"))
     total = mixed.agg(F.sum(F.col("copies") * F.col(size)).alias("t")).scalar()
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return targets.join(g, F.col("source") == F.col("s"), "left").select("source", "target_share", z("documents"), z("copies"), z("tokens"), F.coalesce(F.try_divide(F.col("tokens"), total), F.lit(0.0)).alias("actual_share"))
+    x = targets.join(g, F.col("source") == F.col("s"), "left").select("source", "target_share", z("documents"), z("copies"), z("tokens"), F.coalesce(F.try_divide(F.col("tokens"), total), F.lit(0.0)).alias("actual_share"), z("used_tokens"))
+    if items is None:
+        return x.drop("used_tokens")
+    a = available(items, targets, source=source, size=size).withColumnRenamed("source", "s")
+    y = x.join(a, F.col("source") == F.col("s"), "left")
+    return y.select(*[c for c in x.columns if c != "used_tokens"], z("available_documents"), z("available_tokens"), "used_tokens", F.coalesce(F.try_divide("used_tokens", "available_tokens"), F.lit(0.0)).alias("used_share"))

@@ -34,19 +34,35 @@ def p8_slack(spark: SparkSession, d: str) -> DataFrame:
     return packing.slack(_packed(spark, d), _boxes(spark, d))
 
 
-def _mixed(spark: SparkSession, d: str) -> DataFrame:
-    n = materialize(tokens.with_token_counts(read_table(spark, d, "documents"), ["doc_id", "source"]), "tokens")
-    return mixing.mix(n, read_table(spark, d, "mix_targets"))
+def _lengths(spark: SparkSession, d: str) -> DataFrame:
+    return materialize(tokens.with_token_counts(read_table(spark, d, "documents"), ["doc_id", "source"]), "tokens")
+
+
+def _corpus_total(lengths: DataFrame, targets: DataFrame) -> int:
+    return mixing.available(lengths, targets).agg(F.sum("available_tokens")).collect()[0][0] or 0
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     """Documents of the mix with their copies."""
-    return _mixed(spark, d)
+    return mixing.mix(_lengths(spark, d), read_table(spark, d, "mix_targets"))
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Target and reached share of each source."""
-    return mixing.shares(materialize(_mixed(spark, d), "mix"), read_table(spark, d, "mix_targets"))
+    """Target and reached share of each source, and how much of the source the mix uses."""
+    n, targets = _lengths(spark, d), read_table(spark, d, "mix_targets")
+    return mixing.shares(materialize(mixing.mix(n, targets), "mix"), targets, n)
+
+
+def p9_mix_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """The mix with as many tokens as the target sources have; a source whose cap is too low falls short of its share."""
+    n, targets = _lengths(spark, d), read_table(spark, d, "mix_targets")
+    return mixing.mix(n, targets, total_tokens=_corpus_total(n, targets))
+
+
+def p9_shares_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """The same report for the mix of the corpus' size."""
+    n, targets = _lengths(spark, d), read_table(spark, d, "mix_targets")
+    return mixing.shares(materialize(mixing.mix(n, targets, total_tokens=_corpus_total(n, targets)), "mix"), targets, n)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +76,7 @@ def p10_repetition(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition(read_table(spark, d, "documents"))[0]
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p8_boxes, p8_slack, p9_mix, p9_shares, p10_found, p10_repetition)}
+QUERIES = {f.__name__: f for f in (p2_found, p8_boxes, p8_slack, p9_mix, p9_shares, p9_mix_corpus, p9_shares_corpus, p10_found, p10_repetition)}
 
 ORACLE = {
     "p2_found": """SELECT np_chrom, rnk::INTEGER AS rnk, peak_id FROM (SELECT *, row_number() OVER (PARTITION BY np_chrom ORDER BY np_signal DESC, np_name ASC NULLS LAST, peak_id) AS rnk

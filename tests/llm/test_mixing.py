@@ -56,3 +56,15 @@ def test_mix(spark, walk):
     assert sorted(map(tuple, again), key=repr) == sorted(map(tuple, got), key=repr)
     assert mixing.mix(df.limit(0), targets).count() == 0 and mixing.mix(df, targets.limit(0)).count() == 0
     assert mixing.shares(mixing.mix(df.limit(0), targets), targets).count() == 4
+
+
+def test_shares_report_what_is_left_out(spark):
+    df = spark.createDataFrame([(i, "big", 10) for i in range(400)] + [(400 + i, "few", 10) for i in range(10)] + [(500, "other", 7)], "doc_id bigint, source string, n_tokens bigint")
+    targets = spark.createDataFrame([("big", 0.5, 1), ("few", 0.5, 2), ("none", 0.0, 1)], "source string, target_share double, max_repeats int")
+    sh = {r.source: r for r in mixing.shares(mixing.mix(df, targets), targets, df).collect()}
+    assert (sh["few"].available_tokens, sh["few"].used_tokens, sh["few"].tokens) == (100, 100, 200)
+    assert (sh["big"].available_tokens, sh["big"].used_tokens, sh["big"].used_share) == (4000, 200, 0.05)
+    assert (sh["none"].available_documents, sh["none"].used_share) == (0, 0.0)
+    total = mixing.available(df, targets).groupBy().sum("available_tokens").collect()[0][0]
+    whole = {r.source: r for r in mixing.shares(mixing.mix(df, targets, total_tokens=total), targets, df).collect()}
+    assert total == 4100 and whole["big"].tokens == 2050 and whole["few"].tokens == 200 and whole["few"].actual_share < 0.1
