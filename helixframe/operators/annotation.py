@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from helixframe.functions.stats import hyperquick, with_neighbours
+from helixframe.operators.hierarchy import cycle_terms
 from helixframe.runtime import materialize
 
 
@@ -81,6 +82,31 @@ def go_levels(starts: DataFrame, links: DataFrame, *, max_rounds: int = 1000) ->
     return x.groupBy("id").agg(F.max("level").alias("level"))
 
 
+def term_levels(terms: DataFrame, links: DataFrame, *, max_rounds: int = 1000) -> DataFrame:
+    """``id, node_state, level`` for links that may hold cycles.
+
+    ``free``: the level of :func:`go_levels`. A term on a cycle (``on_cycle``) or with any way up to
+    one (``below_cycle``) has no longest way; its level is -1. Links of children that are no terms are
+    ignored; an unknown parent counts one level.
+    """
+    ids = materialize(terms.select(F.col("id").cast("bigint")).where("id IS NOT NULL").distinct(), "terms")
+    lk = links.select(F.col("child").cast("bigint"), F.col("parent").cast("bigint")).where("parent IS NOT NULL").distinct()
+    lk = materialize(lk.join(ids, F.col("child") == F.col("id"), "left_semi"), "links")
+    cyc = cycle_terms(lk)
+    endless = front = cyc
+    while True:
+        step = lk.join(front, F.col("parent") == F.col("id"), "left_semi").select(F.col("child").alias("id")).distinct()
+        front = materialize(step.join(endless, "id", "left_anti"), "below")
+        if front.isEmpty():
+            break
+        endless = endless.union(front)
+    endless = materialize(endless, "endless")
+    free = lk.join(endless, F.col("child") == F.col("id"), "left_anti")
+    levels = go_levels(ids.join(endless, "id", "left_anti"), free, max_rounds=max_rounds).select("id", F.lit("free").alias("node_state"), "level")
+    none = lambda d, s: d.select("id", F.lit(s).alias("node_state"), F.lit(-1).alias("level"))
+    return levels.union(none(cyc, "on_cycle")).union(none(endless.join(cyc, "id", "left_anti"), "below_cycle"))
+
+
 def enrichment(annotated: DataFrame, foreground: DataFrame) -> DataFrame:
     """Terms over-represented among the foreground items: ``term, x, m, n, total, fold_change, p_value``.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from helixframe.functions import sequence as sq, stats
 from helixframe.motif import pwm, scan
-from helixframe.operators import annotation as an, contacts as hc, counting as ct, intervals as iv
+from helixframe.operators import annotation as an, contacts as hc, counting as ct, intervals as iv, references as rf
 from helixframe.plans import derive as dv
 from helixframe.plans.derive import MOTIFS, SQL
 from helixframe.runtime import materialize, read_table
@@ -400,6 +400,23 @@ ORACLE["h1_go_levels"] = """WITH RECURSIVE up(start, cur, lvl) AS (SELECT p_part
   SELECT start, unnest([cur // 2, cur // 3]), lvl + 1 FROM up WHERE cur > 0) """ + ORACLE["h1_go_levels"]
 
 
+@query("""SELECT start AS id, 'free' AS node_state, max(lvl)::INTEGER AS level FROM up GROUP BY start UNION ALL SELECT id, 'on_cycle', -1 FROM cyc UNION ALL SELECT id, 'below_cycle', -1 FROM below""")
+def h1_go_term_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Levels of the ontology's terms; those on or under cycles are reported."""
+    links = read_table(spark, d, "go_subclass").select(F.col("obo_id").alias("child"), rf.reference_number(F.col("sub_class_of"), "_").alias("parent"))
+    return an.term_levels(read_table(spark, d, "go").select(F.col("obo_id").alias("id")), links)
+
+
+ORACLE["h1_go_term_levels"] = """WITH RECURSIVE t AS (SELECT DISTINCT obo_id AS id FROM go WHERE obo_id IS NOT NULL),
+ l AS (SELECT DISTINCT obo_id AS c, try_cast(trim(regexp_extract(trim(sub_class_of), '([^_]*)$', 1)) AS BIGINT) AS p FROM go_subclass),
+ k AS (SELECT c, p FROM l WHERE p IS NOT NULL AND c IN (SELECT id FROM t)),
+ reach(a, b) AS (SELECT c, p FROM k UNION SELECT r.a, k.p FROM reach r JOIN k ON r.b = k.c),
+ cyc AS (SELECT DISTINCT a AS id FROM reach WHERE a = b),
+ below AS (SELECT DISTINCT a AS id FROM reach WHERE b IN (SELECT id FROM cyc) AND a NOT IN (SELECT id FROM cyc)),
+ up(start, cur, lvl) AS (SELECT id, id, 0 FROM t WHERE id NOT IN (SELECT id FROM cyc) AND id NOT IN (SELECT id FROM below)
+  UNION SELECT start, k.p, lvl + 1 FROM up JOIN k ON cur = k.c) """ + ORACLE["h1_go_term_levels"]
+
+
 def _annotated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     g = read_table(spark, d, "gaf")
     a = g.where(F.trim("gaf_go_id") != "").select(F.col("gaf_db_id").alias("item"), F.trim("gaf_go_id").alias("term"))

@@ -65,6 +65,13 @@ def test_levels_and_enrichment(spark):
     assert r["t"].p_value == pytest.approx((10 * 15 + 5) / 4845)
 
 
+def test_levels_of_terms_with_cycles(spark):
+    lk = spark.createDataFrame([(3, 2), (2, 1), (3, 1), (5, 99), (99, 1), (6, 7), (7, 6), (8, 6), (8, 1), (9, 9), (4, 8), (None, 1), (1, None)], "child bigint, parent bigint")
+    ids = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5, 6, 7, 8, 9, 9, None)], "id bigint")
+    got = {r.id: (r.node_state, r.level) for r in an.term_levels(ids, lk).collect()}
+    assert got == {1: ("free", 0), 2: ("free", 1), 3: ("free", 2), 5: ("free", 1), **{i: ("on_cycle", -1) for i in (6, 7, 9)}, **{i: ("below_cycle", -1) for i in (4, 8)}}
+
+
 def test_contacts(spark):
     pairs = [(1, 2), (2, 1), (2, 2), (2, 2), (2, 2), (0, 5)]
     m = hc.contact_map(spark.createDataFrame(pairs, "bin1 int, bin2 int"))
