@@ -534,3 +534,12 @@ def f5_quality_scores(spark: SparkSession, d: str) -> DataFrame:
     x = dv.reads(spark, d).withColumn("q", sq.quality_scores(F.col("qual")))
     q = F.get("q", F.lit(0))
     return x.select("doc_id", F.substring("qual", 1, 1).alias("first_symbol"), F.size("q").cast("bigint").alias("n"), q.alias("first_score"), F.round(sq.error_probability(q), 9).alias("first_error"))
+
+
+@query("""SELECT doc_id, length(qual) AS n, list_sum(list_transform(range(1, length(qual) + 1), lambda i: ascii(qual[i]) - 33))::BIGINT AS score_sum,
+  round(list_sum(list_transform(range(1, length(qual) + 1), lambda i: pow(10.0::DOUBLE, -(ascii(qual[i]) - 33) / 10.0::DOUBLE))), 6) AS error_sum FROM reads""", "reads")
+def f5_quality_sums(spark: SparkSession, d: str) -> DataFrame:
+    """Scores and error probabilities of all symbols of each read, summed."""
+    x = dv.reads(spark, d).withColumn("q", sq.quality_scores(F.col("qual")))
+    return x.select("doc_id", F.size("q").cast("bigint").alias("n"), F.aggregate("q", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("score_sum"),
+        F.round(F.aggregate("q", F.lit(0.0), lambda a, v: a + sq.error_probability(v)), 6).alias("error_sum"))

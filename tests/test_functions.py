@@ -118,3 +118,11 @@ def test_ranks_fdr_windows(spark):
     sc = stats.scale(df, "p", ["g"]).groupBy("g").agg(F.avg("scaled").alias("m"), F.stddev_samp("scaled").alias("s")).collect()
     assert all(abs(r.m) < 1e-9 and abs(r.s - 1) < 1e-9 for r in sc)
     assert all(r.scaled is None for r in stats.scale(spark.createDataFrame([(1.0,), (1.0,)], "x double"), "x").collect())
+
+
+def test_quality_sums_cover_all_symbols(spark, tmp_path):
+    from helixframe.plans import genomics
+
+    spark.createDataFrame([(1, "!+5 é"), (2, ""), (3, "I" * 10)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n, r.score_sum, r.error_sum) for r in genomics.QUERIES["f5_quality_sums"](spark, str(tmp_path)).collect()}
+    assert got == {1: (3, 30, 1.11), 3: (10, 400, 0.001)}
