@@ -65,6 +65,11 @@ def byte_states(cls: np.ndarray, chunk: int = 256) -> np.ndarray:
 
 def tokenize(lines: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Fields of each line (list of strings, quotes taken off) and the byte offset of a quoting error, else -1."""
+    return tokenize_at(lines)[:2]
+
+
+def tokenize_at(lines: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array]:
+    """The same, and the bytes after each field (of its tab, or the line's end)."""
     lines = lines.cast(pa.large_binary())
     n = len(lines)
     raw = [b"" if x is None else x for x in lines.to_pylist()] if lines.null_count else None
@@ -100,7 +105,8 @@ def tokenize(lines: pa.Array) -> tuple[pa.Array, np.ndarray]:
     field_off = np.concatenate([[0], kept[at]]).astype(np.int64)
     fields = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(field_off), pa.py_buffer(byte[keep].tobytes()))
     line_off = np.concatenate([[0], np.searchsorted(at, ends) + 1]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(line_off), fields.cast(pa.string())), error
+    field_end = at - np.repeat(begins, np.diff(line_off))
+    return pa.ListArray.from_arrays(pa.array(line_off), fields.cast(pa.string())), error, pa.ListArray.from_arrays(pa.array(line_off), pa.array(field_end, pa.int64()))
 
 
 def _tokenizer(passed: list[str]):
@@ -110,14 +116,14 @@ def _tokenizer(passed: list[str]):
             part = np.cumsum(pc.fill_null(pc.binary_length(line), 0).to_numpy(zero_copy_only=False)) // STREAM
             cuts = np.flatnonzero(np.diff(part)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
-                fields, error = tokenize(line.slice(lo, hi - lo))
-                yield pa.RecordBatch.from_arrays([*[b.column(c).slice(lo, hi - lo) for c in passed], fields, pa.array(error)], names=[*passed, "fields", "quote_error_at"])
+                fields, error, end = tokenize_at(line.slice(lo, hi - lo))
+                yield pa.RecordBatch.from_arrays([*[b.column(c).slice(lo, hi - lo) for c in passed], fields, pa.array(error), end], names=[*passed, "fields", "quote_error_at", "field_end"])
 
     return run
 
 
 def tokenize_lines(df: DataFrame, line: str, keep: list[str]) -> DataFrame:
-    """``keep`` columns with ``fields`` and ``quote_error_at`` (-1: none) for each line that is a record.
+    """``keep`` columns with ``fields``, ``quote_error_at`` (-1: none) and ``field_end`` (bytes) for each line that is a record.
 
     One trailing carriage return is not part of a line. NULL and empty lines, lines that begin with
     ``#`` or ``!``, and ``track`` / ``browser`` lines are no records and are left out in the JVM.
@@ -126,35 +132,47 @@ def tokenize_lines(df: DataFrame, line: str, keep: list[str]) -> DataFrame:
     kept = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
     names = [f"k{i}" for i in range(len(keep))]
     x = df.select(*kept, text.alias("__hf_line")).where((F.col("__hf_line") != "") & ~F.col("__hf_line").rlike(r"\A(?:[#!]|(?:track|browser)\s)"))
-    schema = ", ".join([*(f"{n} {x.schema[n].dataType.simpleString()}" for n in names), "fields array<string>, quote_error_at bigint"])
+    schema = ", ".join([*(f"{n} {x.schema[n].dataType.simpleString()}" for n in names), "fields array<string>, quote_error_at bigint, field_end array<bigint>"])
     y = x.mapInArrow(_tokenizer(names), schema)
-    return y.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "fields", "quote_error_at")
+    return y.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "fields", "quote_error_at", "field_end")
 
 
-def reject_reason(fmt: Column, fields: Column, quote_error_at: Column) -> Column:
-    """The first reason that applies (quoting, columns, value), else NULL; an unknown format has none."""
+def _digits(c: Column) -> Column:
+    return c.rlike(r"\A[0-9]+\z") & c.try_cast("bigint").isNotNull()
+
+
+def bad_field(fmt: Column, fields: Column) -> Column:
+    """Number (from 1) of the first field whose value is bad, else NULL; of borders in the wrong order the third."""
     n, f = F.size(fields), lambda i: F.get(fields, F.lit(i - 1))
-    off = (fmt == "bed") & (n < 3) | (fmt == "narrowpeak") & (n != 3) & (n < 10) | (fmt == "gaf") & (n != 17)
-    digits = lambda c: c.rlike(r"\A[0-9]+\z") & c.try_cast("bigint").isNotNull()
-    borders = ~digits(f(2)) | ~digits(f(3)) | (f(2).try_cast("bigint") > f(3).try_cast("bigint"))
+    ordered = f(2).try_cast("bigint") <= f(3).try_cast("bigint")
+    borders = F.when(~_digits(f(2)), 2).when(~_digits(f(3)) | ~ordered, 3)
     number = f(8).rlike(r"\A[+-]?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?\z")
-    bad = (
+    return (
         F.when(fmt == "bed", borders)
-        .when(fmt == "narrowpeak", borders | (n >= 10) & ~number)
-        .when(fmt == "gaf", ~f(5).rlike(r"\AGO:[0-9]{7}\z"))
+        .when(fmt == "narrowpeak", F.coalesce(borders, F.when((n >= 10) & ~number, 8)))
+        .when(fmt == "gaf", F.when(~f(5).rlike(r"\AGO:[0-9]{7}\z"), 5))
     )
-    return F.when(quote_error_at >= 0, "quoting").when(off, "columns").when(bad, "value")
+
+
+def reject_reason(fmt: Column, fields: Column, quote_error_at: Column) -> Column:
+    """The first reason that applies (quoting, columns, value), else NULL; an unknown format has none."""
+    n = F.size(fields)
+    off = (fmt == "bed") & (n < 3) | (fmt == "narrowpeak") & (n != 3) & (n < 10) | (fmt == "gaf") & (n != 17)
+    return F.when(quote_error_at >= 0, "quoting").when(off, "columns").when(bad_field(fmt, fields).isNotNull(), "value")
 
 
 def parse_lines(df: DataFrame, *, line: str = "line", fmt: str = "fmt", keep: list[str] = ("line_id",)) -> DataFrame:
     """Every record with its fields, ``reason`` (NULL: readable) and ``error_offset``.
 
-    ``error_offset`` is the byte at which the quoting broke, else NULL. The rows keep the columns
+    ``error_offset`` is the byte at which the quoting broke, the line's end for ``columns``, the first
+    byte of the first bad field for ``value``, NULL for readable records. The rows keep the columns
     ``keep`` and ``fmt``; nothing is dropped but lines that are no records.
     """
     t = tokenize_lines(df, line, [*dict.fromkeys([*keep, fmt])])
     reason = reject_reason(F.col(fmt), F.col("fields"), F.col("quote_error_at"))
-    return t.withColumn("reason", reason).withColumn("error_offset", F.when(F.col("quote_error_at") >= 0, F.col("quote_error_at"))).drop("quote_error_at")
+    bad = bad_field(F.col(fmt), F.col("fields"))
+    at = F.when(F.col("reason") == "quoting", F.col("quote_error_at")).when(F.col("reason") == "columns", F.element_at("field_end", -1)).when(F.col("reason") == "value", F.get("field_end", bad - 2) + 1)
+    return t.withColumn("reason", reason).withColumn("error_offset", at).drop("quote_error_at", "field_end")
 
 
 def load_intervals(parsed: DataFrame, fmt_col: str = "fmt", keep: list[str] = ("line_id",)) -> DataFrame:

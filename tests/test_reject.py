@@ -131,3 +131,14 @@ def test_every_record_is_loaded_or_set_aside(spark):
     loaded = count(problems.p1_loaded(spark, d).select("fmt").union(problems.p1_loaded_gaf(spark, d).select("fmt")))
     assert set(records) == {"bed", "narrowpeak", "gaf"}
     assert records == {k: loaded.get(k, 0) + aside.get(k, 0) for k in records}
+
+
+def test_every_reason_has_its_offset(spark):
+    gaf = ["x"] * 4 + ["go:1"] + ["y"] * 12
+    np_ = ["c", "1", "2", '"n\té"', "0", ".", "1", "bad", "1", "1"]
+    rows = [
+        ("bed", "chr1\t1", 6), ("bed", "é\tx\t2\r", 3), ("bed", "c\t1\tx", 4), ("bed", "c\t5\t2", 4), ("bed", 'c\t1\t2\t"a"b', 9), ("bed", "c\t1\t2", None),
+        ("gaf", "\t".join(gaf), 8), ("gaf", "a\tb\r", 3), ("narrowpeak", "\t".join(np_), len("\t".join(np_[:7]).encode()) + 1),
+    ]
+    df = spark.createDataFrame([(i, f, x) for i, (f, x, _) in enumerate(rows)], "line_id bigint, fmt string, line string")
+    assert {r.line_id: r.error_offset for r in reject.parse_lines(df).collect()} == {i: w for i, (_, _, w) in enumerate(rows)}
