@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from helixframe.functions.stats import hyperquick, with_neighbours
 from helixframe.operators.hierarchy import cycle_terms
-from helixframe.runtime import materialize
+from helixframe.runtime import Table, materialize
 
 
 def gene_models(elements: DataFrame) -> DataFrame:
@@ -65,20 +65,18 @@ def go_levels(starts: DataFrame, links: DataFrame, *, max_rounds: int = 1000) ->
     """
     lk = links.where("child IS NOT NULL AND parent IS NOT NULL").select("child", "parent").distinct()
     ids = starts.select("id").distinct()
-    front = materialize(ids.withColumn("cur", F.col("id")), "levels")
-    done = [ids.withColumn("level", F.lit(0))]
+    t = Table(ids.withColumn("cur", F.col("id")).withColumn("level", F.lit(0)), "levels")
+    done = [t.path]
     n = 0
     while True:
         n += 1
-        front = materialize(front.join(lk, F.col("cur") == F.col("child")).select("id", F.col("parent").alias("cur")).distinct(), "levels")
-        if front.isEmpty():
+        t = Table(t.df.join(lk, F.col("cur") == F.col("child")).select("id", F.col("parent").alias("cur")).distinct().withColumn("level", F.lit(n)), "levels")
+        if t.df.isEmpty():
             break
         if n > max_rounds:
             raise ValueError("the hierarchy has a cycle or is deeper than max_rounds")
-        done.append(front.select("id").distinct().withColumn("level", F.lit(n)))
-    x = done[0]
-    for d in done[1:]:
-        x = x.union(d)
+        done.append(t.path)
+    x = t.spark.read.schema(t.df.schema).parquet(*done)  # one scan, however many rounds
     return x.groupBy("id").agg(F.max("level").alias("level"))
 
 
