@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from helixframe.functions.stats import hyperquick, with_neighbours
-from helixframe.operators.hierarchy import cycle_terms
+from helixframe.operators.cycles import cycle_terms
 from helixframe.runtime import Table, materialize
 
 

@@ -65,25 +65,30 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return p5_found(spark, d).groupBy("table_name", "ref_kind", "ref_month").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _hierarchy(spark: SparkSession, d: str) -> DataFrame:
+def _ontology(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     links = read_table(spark, d, "go_subclass").select(F.col("obo_id").alias("child"), rf.reference_number(F.col("sub_class_of"), "_").alias("parent"))
-    return hi.hierarchy(read_table(spark, d, "go").select(F.col("obo_id").alias("id")), links)
+    return read_table(spark, d, "go").select(F.col("obo_id").alias("id")), links
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _hierarchy(spark, d).withColumnRenamed("id", "obo_id")
+    return hi.hierarchy(*_ontology(spark, d)).withColumnRenamed("id", "obo_id")
 
 
 def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
     """Number of distinct descendants of each term that has any, off all cycles."""
-    return hi.descendants(_hierarchy(spark, d)).groupBy(F.col("ancestor").alias("obo_id")).agg(F.count(F.lit(1)).alias("n_descendants"))
+    return hi.descendant_counts(*_ontology(spark, d)).withColumnRenamed("id", "obo_id")
+
+
+def p6_descendant_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every term with each of its descendants, off all cycles."""
+    return hi.descendants(*_ontology(spark, d))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return packed.explode_packed(read_table(spark, d, "gaf"), "gaf_id", PACKED_FIELDS, min_values=2)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_loaded, p1_loaded_gaf, p3_found, p3_per_chrom, p3_join_tracks, p4_found, p5_found, p5_report, p6_found, p6_descendants, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_loaded, p1_loaded_gaf, p3_found, p3_per_chrom, p3_join_tracks, p4_found, p5_found, p5_report, p6_found, p6_descendants, p6_descendant_pairs, p7_found)}
 
 _FIELD = r'''(?:"(?:[^"]|"")*"|[^"\t][^\t]*|)'''
 _LINES = rf"""
@@ -150,6 +155,8 @@ ORACLE = {
       UNION ALL SELECT id, 'below_cycle', -1, -1, '' FROM t WHERE id NOT IN (SELECT id FROM cyc) AND id NOT IN (SELECT id FROM path)""",
     "p6_descendants": f"""WITH RECURSIVE {_PATHS}, pairs AS (SELECT DISTINCT id, unnest(string_split(full_path, '/'))::BIGINT AS a FROM path)
       SELECT a AS obo_id, count(*) AS n_descendants FROM pairs WHERE a <> id GROUP BY a""",
+    "p6_descendant_pairs": f"""WITH RECURSIVE {_PATHS}, pairs AS (SELECT DISTINCT id, unnest(string_split(full_path, '/'))::BIGINT AS a FROM path)
+      SELECT a AS ancestor, id FROM pairs WHERE a <> id""",
     "p7_found": f"""WITH r AS ({_P7}), v AS (SELECT gaf_id, field_name, list_filter(list_transform(raw, lambda x:
         CASE WHEN regexp_matches(x, '^"(?:[^"]|"")*"') THEN replace(regexp_extract(x, '^"((?:[^"]|"")*)"', 1), '""', '"') ELSE trim(x) END), lambda x: x <> '') AS vals FROM r)
       SELECT gaf_id, field_name, unnest(range(1, len(vals) + 1))::INTEGER AS pos, unnest(vals) AS val FROM v WHERE len(vals) >= 2""",

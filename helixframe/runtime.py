@@ -12,7 +12,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 _FOLDERS: dict[str, str] = {}
 
@@ -47,13 +47,18 @@ def release(spark: SparkSession) -> None:
 
 
 class Table:
-    """A written intermediate table: ``df`` reads it, ``drop()`` deletes it."""
+    """A written intermediate table: ``df`` reads it, ``drop()`` deletes it.
 
-    def __init__(self, df: DataFrame, name: str):
+    ``stats`` are SQL aggregates over the rows, taken while they are written; their values are in ``seen``.
+    """
+
+    def __init__(self, df: DataFrame, name: str, **stats: str):
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex[:12]}"
         schema = df.schema
-        df.write.parquet(self.path)
+        watch = Observation() if stats else None
+        (df.observe(watch, *[F.expr(c).alias(k) for k, c in stats.items()]) if watch else df).write.parquet(self.path)
+        self.seen = watch.get if watch else {}
         self.df = self.spark.read.schema(schema).parquet(self.path)
 
     def drop(self) -> None:

@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.operators.hierarchy import cycle_terms, descendants, hierarchy, rank_tours
+from helixframe.operators.cycles import components, cycle_terms
+from helixframe.operators.hierarchy import descendant_counts, descendants, hierarchy, rank_tours
 
 
 def brute(terms, links):
@@ -49,39 +50,100 @@ def graph(n, seed):
     return list(range(n)) + [7, None], links + links[:5]
 
 
-def run(spark, terms, links, **kw):
+def tables(spark, terms, links):
     t = spark.createDataFrame([(x, "c") for x in terms], "id bigint, child string")
-    lk = spark.createDataFrame(links, "child bigint, parent bigint")
-    return hierarchy(t, lk, **kw)
+    return t, spark.createDataFrame(links, "child bigint, parent bigint")
+
 
+def run(spark, terms, links, **kw):
+    return hierarchy(*tables(spark, terms, links), **kw)
 
-@pytest.mark.parametrize(("block", "core"), [(50_000, 20_000), (3, 0)])
-def test_random_graphs(spark, block, core):
+
+@pytest.mark.parametrize("block", [50_000, 3])
+def test_random_graphs(spark, block):
     terms, links = graph(70, 4)
-    got = sorted(map(tuple, run(spark, terms, links, block=block, core_links=core).collect()))
+    got = sorted(map(tuple, run(spark, terms, links, block=block).collect()))
     assert got == brute(terms, links)
+    below(spark, terms, links, got, block)
+
+
+def below(spark, terms, links, rows, block):
+    """Descendants and their counts, against the paths."""
+    want = {(int(a), r[0]) for r in rows for a in r[4].split("/")[:-1] if a}
+    got = [tuple(r) for r in descendants(*tables(spark, terms, links), block=block).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    n = {}
+    for a, _ in want:
+        n[a] = n.get(a, 0) + 1
+    assert {r[0]: r[1] for r in descendant_counts(*tables(spark, terms, links), block=block).collect()} == n
 
 
 def test_chain_star_and_no_links(spark):
     n = 60
     terms = list(range(2 * n))
     links = [(i, i - 1) for i in range(1, n)] + [(i, 3) for i in range(n, 2 * n)]
-    got = run(spark, terms, links, block=5)
-    rows = sorted(map(tuple, got.collect()))
+    rows = sorted(map(tuple, run(spark, terms, links, block=5).collect()))
     assert rows == brute(terms, links)
-    pairs = {tuple(r) for r in descendants(got).collect()}
-    assert pairs == {(int(a), r[0]) for r in rows for a in r[4].split("/")[:-1]}
+    below(spark, terms, links, rows, 5)
     assert sorted(map(tuple, run(spark, [1, 2], []).collect())) == brute([1, 2], [])
     assert run(spark, [], []).count() == 0
+    assert descendants(*tables(spark, [], [])).count() == 0
 
 
-def test_cycles_both_ways(spark):
-    rng = random.Random(2)
-    links = list({(rng.randrange(40), rng.randrange(40)) for _ in range(45)})
-    want = {r[0] for r in brute(range(40), links) if r[1] == "on_cycle"}
-    df = spark.createDataFrame(links, "child bigint, parent bigint")
-    for core in (0, 1000):
-        assert {r[0] for r in cycle_terms(df, core).collect()} == want
+def strong(links):
+    """Components by brute force: sets of terms that reach each other, those on no cycle left out."""
+    par = {}
+    for c, p in links:
+        par.setdefault(c, set()).add(p)
+    reach = {}
+    for v in {x for e in links for x in e}:
+        st, seen = list(par.get(v, ())), set(par.get(v, ()))
+        while st:
+            for y in par.get(st.pop(), ()):
+                if y not in seen:
+                    seen.add(y)
+                    st.append(y)
+        reach[v] = seen
+    return {frozenset({v} | {w for w in reach[v] if v in reach[w]}) for v in reach if v in reach[v]}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_components(spark, seed):
+    """Rings, trees into rings, dense cores, and rings joined by chains."""
+    rng = random.Random(seed)
+    n, m = [(40, 45), (60, 150), (30, 33), (80, 84)][seed]
+    links = list({(rng.randrange(n), rng.randrange(n)) for _ in range(m)})
+    ring = lambda at, k: [(at + i, at + (i + 1) % k) for i in range(k)]
+    links += ring(100, 7) + [(120, 103), (121, 120), (103, 130), (130, 131), (131, 105)] + ring(200, 3) + [(202, 101), (300, 300)]
+    got = {}
+    for r in components(spark.createDataFrame(links, "child bigint, parent bigint")).collect():
+        got.setdefault(r.label, set()).add(r.id)
+    assert {frozenset(v) for v in got.values()} == strong(links)
+
+
+def test_wide_ladders_and_coloured_cores(spark):
+    """Nothing to peel and no single parents: colouring, with two components joined by one link."""
+    grid = lambda at, k: [(at + i, at + (i + d) % k) for i in range(k) for d in (1, 3)]
+    links = grid(0, 12) + grid(50, 9) + [(3, 52), (60 + 40, 0), (100, 5)]
+    trace = []
+    got = {}
+    for r in components(spark.createDataFrame(links, "child bigint, parent bigint"), trace).collect():
+        got.setdefault(r.label, set()).add(r.id)
+    assert {frozenset(v) for v in got.values()} == strong(links)
+    assert any(k == "colour" for k, _ in trace)
+
+
+def test_rounds_grow_with_the_logarithm(spark):
+    """A chain of a million links: the cycle search and the tour take rounds of about log4 of its length."""
+    n = 1_000_000
+    chain = spark.range(1, n + 1).selectExpr("(id * 7919) % 1000003 AS child", "((id - 1) * 7919) % 1000003 AS parent")
+    trace = []
+    assert cycle_terms(chain, trace).count() == 0
+    assert len(trace) <= 14
+    trace = []
+    r = rank_tours(chain.selectExpr("child AS v", "parent AS p"), trace)
+    assert r.agg(F.max("depth"), F.count("v")).first() == (n, n)
+    assert len(trace) <= 12
 
 
 def test_tours_nest(spark):
