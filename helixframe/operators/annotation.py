@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from helixframe.functions.stats import hyperquick, with_neighbours
-from helixframe.operators.cycles import cycle_terms
-from helixframe.runtime import Table, materialize
+from helixframe.operators.cycles import cycle_terms, longest_ways
+from helixframe.runtime import materialize
 
 
 def gene_models(elements: DataFrame) -> DataFrame:
@@ -56,31 +56,20 @@ def regulatory_domains(proms: DataFrame, ext: int, tie: str, *, every_third: boo
     return x.select("chrom", sides.alias("d"), *rest).where("d.z > d.a").select("chrom", F.col("d.a").alias("chrom_start"), F.col("d.z").alias("chrom_end"), *rest)
 
 
-def go_levels(starts: DataFrame, links: DataFrame, *, max_rounds: int = 1000) -> DataFrame:
+def go_levels(starts: DataFrame, links: DataFrame) -> DataFrame:
     """``id, level``: length of the longest way up from each id, 0 without parents or for unknown ids.
 
-    ``links`` has ``child, parent``; a parent that is not known itself still counts one level. The
-    frontier holds distinct (id, current) pairs and is written each round. A cycle raises once
-    ``max_rounds`` is exceeded.
+    ``links`` has ``child, parent``; a parent that is not known itself still counts one level. One value a
+    term is kept (see :func:`helixframe.operators.cycles.longest_ways`). A cycle anywhere raises.
     """
-    lk = links.where("child IS NOT NULL AND parent IS NOT NULL").select("child", "parent").distinct()
+    known, rest = longest_ways(links)
+    if not rest.isEmpty():
+        raise ValueError("the hierarchy has a cycle")
     ids = starts.select("id").distinct()
-    t = Table(ids.withColumn("cur", F.col("id")).withColumn("level", F.lit(0)), "levels")
-    done = [t.path]
-    n = 0
-    while True:
-        n += 1
-        t = Table(t.df.join(lk, F.col("cur") == F.col("child")).select("id", F.col("parent").alias("cur")).distinct().withColumn("level", F.lit(n)), "levels")
-        if t.df.isEmpty():
-            break
-        if n > max_rounds:
-            raise ValueError("the hierarchy has a cycle or is deeper than max_rounds")
-        done.append(t.path)
-    x = t.spark.read.schema(t.df.schema).parquet(*done)  # one scan, however many rounds
-    return x.groupBy("id").agg(F.max("level").alias("level"))
-
-
-def term_levels(terms: DataFrame, links: DataFrame, *, max_rounds: int = 1000) -> DataFrame:
+    return ids.join(known, F.col("id") == F.col("v"), "left").select("id", F.coalesce("level", F.lit(0)).cast("int").alias("level"))
+
+
+def term_levels(terms: DataFrame, links: DataFrame) -> DataFrame:
     """``id, node_state, level`` for links that may hold cycles.
 
     ``free``: the level of :func:`go_levels`. A term on a cycle (``on_cycle``) or with any way up to
@@ -89,20 +78,12 @@ def term_levels(terms: DataFrame, links: DataFrame, *, max_rounds: int = 1000) -
     """
     ids = materialize(terms.select(F.col("id").cast("bigint")).where("id IS NOT NULL").distinct(), "terms")
     lk = links.select(F.col("child").cast("bigint"), F.col("parent").cast("bigint")).where("parent IS NOT NULL").distinct()
-    lk = materialize(lk.join(ids, F.col("child") == F.col("id"), "left_semi"), "links")
-    cyc = cycle_terms(lk)
-    endless = front = cyc
-    while True:
-        step = lk.join(front, F.col("parent") == F.col("id"), "left_semi").select(F.col("child").alias("id")).distinct()
-        front = materialize(step.join(endless, "id", "left_anti"), "below")
-        if front.isEmpty():
-            break
-        endless = endless.union(front)
-    endless = materialize(endless, "endless")
-    free = lk.join(endless, F.col("child") == F.col("id"), "left_anti")
-    levels = go_levels(ids.join(endless, "id", "left_anti"), free, max_rounds=max_rounds).select("id", F.lit("free").alias("node_state"), "level")
-    none = lambda d, s: d.select("id", F.lit(s).alias("node_state"), F.lit(-1).alias("level"))
-    return levels.union(none(cyc, "on_cycle")).union(none(endless.join(cyc, "id", "left_anti"), "below_cycle"))
+    known, rest = longest_ways(materialize(lk.join(ids, F.col("child") == F.col("id"), "left_semi"), "links"))
+    cyc = cycle_terms(rest).select(F.col("id").alias("c"))
+    bad = materialize(rest.select(F.col("child").alias("r")).distinct().join(cyc, F.col("r") == F.col("c"), "left"), "endless")
+    x = ids.join(known, F.col("id") == F.col("v"), "left").join(bad, F.col("id") == F.col("r"), "left")
+    state = F.when(F.col("c").isNotNull(), "on_cycle").when(F.col("r").isNotNull(), "below_cycle").otherwise("free")
+    return x.select("id", state.alias("node_state"), F.when(F.col("r").isNotNull(), -1).otherwise(F.coalesce("level", F.lit(0))).cast("int").alias("level"))
 
 
 def enrichment(annotated: DataFrame, foreground: DataFrame) -> DataFrame:

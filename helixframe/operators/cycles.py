@@ -31,12 +31,15 @@ class Jumps:
 
     ``steps[i]`` maps ``v`` to ``x``, the term 4**i links up if it has a single parent itself, else
     ``top`` is the first term that has not. ``rings`` are the terms of rings with the least id as label.
+    With ``weighted`` the links carry ``w`` and ``b``, and so do the steps: the value of v is
+    ``max(b, w + value of its top)``.
     """
 
-    def __init__(self, single: DataFrame, trace: list | None = None):
-        f = single.select("v", "p")
+    def __init__(self, single: DataFrame, trace: list | None = None, *, weighted: bool = False):
+        extra = ["w", "b"] if weighted else []
+        f = single.select("v", "p", *extra)
         y = f.select(F.col("v").alias("yv"))
-        first = f.join(y, F.col("p") == F.col("yv"), "left").select("v", F.col("yv").alias("x"), F.when(F.col("yv").isNull(), F.col("p")).alias("top"), F.col("v").alias("lo"))
+        first = f.join(y, F.col("p") == F.col("yv"), "left").select("v", F.col("yv").alias("x"), F.when(F.col("yv").isNull(), F.col("p")).alias("top"), F.col("v").alias("lo"), *extra)
         pending = "count(x)"
         self.steps = [Table(first, "jump", n=_ROWS, left=pending)]
         seen = self.steps[0].seen
@@ -45,8 +48,9 @@ class Jumps:
             now = self.steps[-1]
             j = now.df
             for i in range(3):
-                z = now.df.select(*[F.col(c).alias(f"z{c}{i}") for c in ("v", "x", "top", "lo")])
-                j = j.join(z, F.col("x") == F.col(f"zv{i}"), "left").select("v", F.col(f"zx{i}").alias("x"), F.coalesce("top", f"ztop{i}").alias("top"), F.least("lo", f"zlo{i}").alias("lo"))
+                z = now.df.select(*[F.col(c).alias(f"z{c}{i}") for c in ("v", "x", "top", "lo", *extra)])
+                more = [(F.col("w") + F.coalesce(f"zw{i}", F.lit(0))).alias("w"), F.greatest("b", F.col("w") + F.col(f"zb{i}")).alias("b")] if weighted else []
+                j = j.join(z, F.col("x") == F.col(f"zv{i}"), "left").select("v", F.col(f"zx{i}").alias("x"), F.coalesce("top", f"ztop{i}").alias("top"), F.least("lo", f"zlo{i}").alias("lo"), *more)
             self.steps.append(Table(j, "jump", n=_ROWS, left=pending))
             seen = self.steps[-1].seen
             reach *= 4
@@ -188,3 +192,63 @@ def _links(df: DataFrame) -> Table:
 def cycle_terms(links: DataFrame, trace: list | None = None) -> DataFrame:
     """Terms (one column ``id``) from which links lead back to themselves, also in one step."""
     return components(links, trace).select("id")
+
+
+def longest_ways(links: DataFrame, trace: list | None = None) -> tuple[DataFrame, DataFrame]:
+    """``v, level``: links of the longest way up from every child; and the links no level could be given to.
+
+    One value a term is kept. Every round settles the terms whose parents are settled and contracts terms
+    with one open parent by weighted pointer jumping, so rounds do not grow with the length of single
+    ways. What is left are the links of terms on or below cycles.
+    """
+    lk = links.where("child IS NOT NULL AND parent IS NOT NULL").select("child", "parent").distinct()
+    is_open = "count(parent)"
+    # A row without a parent holds the longest way through parents that are settled.
+    e = Table(lk.select("child", "parent", F.lit(1).cast("bigint").alias("w")), "ways", n=is_open)
+    settled, trees, used = [], [], [e]
+    while True:
+        up = F.col("parent").isNotNull()
+        g = Table(e.df.groupBy(F.col("child").alias("v")).agg(F.count("parent").alias("k"), F.max("parent").alias("p"), F.max(F.when(up, F.col("w"))).alias("w"), F.coalesce(F.max(F.when(~up, F.col("w"))), F.lit(0)).alias("b")), "terms", one="count_if(k = 1)")
+        used.append(g)
+        settled.append(g.df.where("k = 0").select("v", F.col("b").alias("level")))
+        if not e.seen["n"]:
+            break
+        x = e.df
+        if g.seen["one"]:
+            jumps = Jumps(g.df.where("k = 1"), trace, weighted=True)
+            used += jumps.steps
+            t = jumps.last.where("top IS NOT NULL").select(F.col("v").alias("t"), "top", F.col("w").alias("tw"), F.col("b").alias("tb"))
+            trees.append(t)
+            x = x.join(t.select(F.col("t").alias("own")), F.col("child") == F.col("own"), "left_anti").join(t, F.col("parent") == F.col("t"), "left")
+            both = F.array(F.struct(F.coalesce("top", "parent").alias("parent"), (F.col("w") + F.coalesce("tw", F.lit(0))).alias("w")), F.struct(F.lit(None).cast("bigint").alias("parent"), (F.col("w") + F.col("tb")).alias("w")))
+            x = x.select("child", F.explode(F.filter(both, lambda s: s["w"].isNotNull())).alias("s")).select("child", "s.parent", "s.w")
+        at = g.df.select(F.col("v").alias("a"), F.col("k").alias("ak"), F.col("b").alias("ab"))
+        x = x.where(up).join(at, F.col("parent") == F.col("a"), "left").union(x.where(~up).select("child", "parent", "w", *[F.lit(None).cast("bigint")] * 3))
+        free = F.coalesce("ak", F.lit(0)) == 0
+        x = x.select("child", F.when(~free, F.col("parent")).alias("parent"), (F.col("w") + F.when(free, F.coalesce("ab", F.lit(0))).otherwise(0)).alias("w"))
+        was_settled = g.df.where("k = 0").select(F.col("v").alias("s"))
+        x = x.join(was_settled, F.col("child") == F.col("s"), "left_anti")
+        nxt = Table(x.groupBy("child", "parent").agg(F.max("w").alias("w")), "ways", n=is_open)
+        used.append(nxt)
+        if trace is not None:
+            trace.append(("ways", nxt.seen["n"]))
+        stuck = nxt.seen["n"] == e.seen["n"]
+        e = nxt
+        if stuck:
+            break
+    known = settled[0]
+    for s in settled[1:]:
+        known = known.union(s)
+    known = Table(known, "levels")
+    kids = lk.select(F.col("child").alias("kid")).distinct()
+    for t in reversed(trees):
+        k = known.df.select(F.col("v").alias("kv"), F.col("level").alias("kl"))
+        # A top without links has level 0; one that has links but no level is left open, and its tree with it.
+        at = t.join(k, F.col("top") == F.col("kv"), "left").join(kids, F.col("top") == F.col("kid"), "left").where("kv IS NOT NULL OR kid IS NULL")
+        nxt = Table(known.df.union(at.select(F.col("t").alias("v"), F.greatest("tb", F.col("tw") + F.coalesce("kl", F.lit(0))).alias("level"))), "levels")
+        known.drop()
+        known = nxt
+    rest = materialize(lk.join(known.df.select(F.col("v").alias("kv")), F.col("child") == F.col("kv"), "left_anti"), "rest")
+    for t in used:
+        t.drop()
+    return known.df, rest

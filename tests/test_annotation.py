@@ -57,7 +57,7 @@ def test_levels_and_enrichment(spark):
     ids = spark.createDataFrame([(i,) for i in (1, 2, 3, 5, 77)], "id bigint")
     assert {r.id: r.level for r in an.go_levels(ids, lk).collect()} == {1: 0, 2: 1, 3: 2, 5: 1, 77: 0}
     with pytest.raises(ValueError):
-        an.go_levels(ids, spark.createDataFrame([(1, 2), (2, 1)], lk.schema), max_rounds=5)
+        an.go_levels(ids, spark.createDataFrame([(1, 2), (2, 1)], lk.schema))
     a = spark.createDataFrame([(i, "t" if i < 5 else "u") for i in range(20)] + [(0, "u"), (0, "t")], "item int, term string")
     fg = spark.createDataFrame([(i,) for i in (0, 1, 2, 9, 9, 50)], "item int")
     r = {x.term: x for x in an.enrichment(a, fg).collect()}
@@ -88,3 +88,29 @@ def test_contacts(spark):
     assert [r[0] for r in x.collect()] == [0, 2, 3, 3]
     b = spark.createDataFrame([(95, True, 10), (95, False, 10)], "p int, r boolean, n int").select(hc.bin_of(F.col("p"), F.col("r"), F.col("n"), 100))
     assert [r[0] for r in b.collect()] == [1, 0]
+
+
+def test_longest_ways_against_brute_force(spark):
+    from functools import lru_cache
+
+    from helixframe.operators.cycles import longest_ways
+
+    rng = random.Random(5)
+    links = {(i, rng.randrange(max(0, i - 6), i)) for i in range(1, 120)} | {(i, rng.randrange(i)) for i in range(1, 120) if rng.random() < 0.3}
+    links |= {(300, 301), (301, 300), (302, 301), (302, 5), (303, 302), (304, 303), (400, 400), (401, 9), (402, 401), (403, 402)}
+    par = {}
+    for c, p in links:
+        par.setdefault(c, set()).add(p)
+    bad = {300, 301, 302, 303, 304, 400}
+
+    @lru_cache(None)
+    def level(v):
+        return max((1 + level(p) for p in par.get(v, ())), default=0)
+
+    known, rest = longest_ways(spark.createDataFrame(sorted(links), "child bigint, parent bigint"))
+    assert {r.v: r.level for r in known.collect()} == {v: level(v) for v in par if v not in bad}
+    assert {r.child for r in rest.collect()} == bad
+    trace = []
+    n = 3000
+    known, rest = longest_ways(spark.range(1, n).selectExpr("id child", "id - 1 parent"), trace)
+    assert known.agg({"level": "max"}).first()[0] == n - 1 and rest.isEmpty() and len(trace) < 12
