@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 from helixframe.runtime import Table, materialize
 
 _ROWS = "count(1)"
+#: Rounds of :func:`longest_ways` that contract only if an eighth of the open terms have one open parent.
+PLAIN_ROUNDS = 20
 
 
 class Jumps:
@@ -199,22 +201,23 @@ def longest_ways(links: DataFrame, trace: list | None = None) -> tuple[DataFrame
 
     One value a term is kept. Every round settles the terms whose parents are settled and contracts terms
     with one open parent by weighted pointer jumping, so rounds do not grow with the length of single
-    ways. What is left are the links of terms on or below cycles.
+    ways; while such terms are few, the first ``PLAIN_ROUNDS`` rounds do without. What is left are the links of terms on or below cycles.
     """
     lk = links.where("child IS NOT NULL AND parent IS NOT NULL").select("child", "parent").distinct()
     is_open = "count(parent)"
     # A row without a parent holds the longest way through parents that are settled.
     e = Table(lk.select("child", "parent", F.lit(1).cast("bigint").alias("w")), "ways", n=is_open)
-    settled, trees, used = [], [], [e]
+    settled, trees, used, rounds = [], [], [e], 0
     while True:
         up = F.col("parent").isNotNull()
-        g = Table(e.df.groupBy(F.col("child").alias("v")).agg(F.count("parent").alias("k"), F.max("parent").alias("p"), F.max(F.when(up, F.col("w"))).alias("w"), F.coalesce(F.max(F.when(~up, F.col("w"))), F.lit(0)).alias("b")), "terms", one="count_if(k = 1)")
+        g = Table(e.df.groupBy(F.col("child").alias("v")).agg(F.count("parent").alias("k"), F.max("parent").alias("p"), F.max(F.when(up, F.col("w"))).alias("w"), F.coalesce(F.max(F.when(~up, F.col("w"))), F.lit(0)).alias("b")), "terms", one="count_if(k = 1)", some="count_if(k > 0)")
         used.append(g)
         settled.append(g.df.where("k = 0").select("v", F.col("b").alias("level")))
         if not e.seen["n"]:
             break
         x = e.df
-        if g.seen["one"]:
+        rounds += 1
+        if g.seen["one"] and (8 * g.seen["one"] >= g.seen["some"] or rounds > PLAIN_ROUNDS):
             jumps = Jumps(g.df.where("k = 1"), trace, weighted=True)
             used += jumps.steps
             t = jumps.last.where("top IS NOT NULL").select(F.col("v").alias("t"), "top", F.col("w").alias("tw"), F.col("b").alias("tb"))
