@@ -66,25 +66,43 @@ def p9_shares_corpus(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates by the posterior of their votes, then the exact definition."""
-    x, at = repetition.repetition(read_table(spark, d, "documents"))
-    return x.where((F.col("p_repetitive") >= at) & (F.col("n_words") > 0) & (F.col("n_repeated") * 10 >= F.col("n_words") * 3)).select("doc_id")
+    """Documents the posterior names, then the exact definition."""
+    x = repetition.likely_repetitive(read_table(spark, d, "documents"))
+    return x.where((F.col("n_words") > 0) & (F.col("n_repeated") * 10 >= F.col("n_words") * 3)).select("doc_id")
 
 
 def p10_repetition(spark: SparkSession, d: str) -> DataFrame:
     """Every document's measures, votes and posterior."""
-    return repetition.repetition(read_table(spark, d, "documents"))[0]
+    return repetition.repetition(read_table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p8_boxes, p8_slack, p9_mix, p9_shares, p9_mix_corpus, p9_shares_corpus, p10_found, p10_repetition)}
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's share of repeated words, measured exactly."""
+    return repetition.repetition(read_table(spark, d, "documents")).select("doc_id", "n_words", "n_repeated", F.round("repeated_share", 9).alias("repeated_share"))
 
-ORACLE = {
-    "p2_found": """SELECT np_chrom, rnk::INTEGER AS rnk, peak_id FROM (SELECT *, row_number() OVER (PARTITION BY np_chrom ORDER BY np_signal DESC, np_name ASC NULLS LAST, peak_id) AS rnk
-      FROM narrowpeak WHERE np_signal IS NOT NULL AND NOT isnan(np_signal)) WHERE rnk <= 3""",
-    "p10_found": r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+
+def p10_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Documents kept as clean by the posterior of their votes alone."""
+    return repetition.quality(read_table(spark, d, "documents")).where(F.col("p_clean") > 0.5).select("doc_id")
+
+
+def p10_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Coverage and estimated accuracy of each rule."""
+    return repetition.rule_report(read_table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p8_boxes, p8_slack, p9_mix, p9_shares, p9_mix_corpus, p9_shares_corpus, p10_found, p10_repetition, p10_shares, p10_kept, p10_rules)}
+
+_REPEATED = r"""w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
       g AS (SELECT doc_id, unnest(range(1, len(w) - 4)) AS i, w FROM w WHERE len(w) >= 6),
       k AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, array_to_string(w[i:i+5], ' ') ORDER BY i) > 1 AS again FROM g),
       m AS (SELECT DISTINCT doc_id, unnest(range(i, i + 6)) AS pos FROM k WHERE again),
-      c AS (SELECT doc_id, count(*) AS n FROM m GROUP BY doc_id)
-      SELECT doc_id FROM c JOIN w USING (doc_id) WHERE n * 10 >= len(w) * 3""",
+      c AS (SELECT doc_id, count(*) AS n FROM m GROUP BY doc_id)"""
+
+ORACLE = {
+    "p2_found": """SELECT np_chrom, rnk::INTEGER AS rnk, peak_id FROM (SELECT *, row_number() OVER (PARTITION BY np_chrom ORDER BY np_signal DESC, np_name ASC NULLS LAST, peak_id) AS rnk
+      FROM narrowpeak WHERE np_signal IS NOT NULL AND NOT isnan(np_signal)) WHERE rnk <= 3""",
+    "p10_found": f"WITH {_REPEATED} SELECT doc_id FROM c JOIN w USING (doc_id) WHERE n * 10 >= len(w) * 3",
+    "p10_shares": f"""WITH {_REPEATED} SELECT doc_id, coalesce(len(w), 0) AS n_words, coalesce(n, 0) AS n_repeated,
+      round(CASE WHEN coalesce(n, 0) = 0 THEN 0 ELSE n / len(w) END, 9) AS repeated_share FROM w LEFT JOIN c USING (doc_id)""",
 }

@@ -1,20 +1,25 @@
-"""Repetition inside a single document, measured by rules whose votes are weighed together.
+"""Repetition inside a single document: cheap rules vote, their votes are weighed together, and what is
+likely repetitive is measured exactly.
 
 Every rule votes repetitive (1), clean (0) or abstains (-). How far each rule can be trusted is not
 set but estimated: expectation-maximisation fits, for both classes, the chance of each vote of each
 rule to the counts of vote patterns over all documents. The posterior of a document's pattern replaces
-a filter that all rules must pass.
+a filter that all rules must pass: it decides which documents are kept as clean, and which are measured.
+
+No rule is the definition (words in runs of six that also start earlier). The rules on words, pairs and
+triples do bound it, though: of the words of a repeated run, 5 of 6 begin a pair and 4 of 6 a triple
+that occurred before, so a text with 3/10 of its words repeated has 1/4 of them in repeated pairs and
+1/5 in repeated triples. Such a text never gets a clean vote from these three.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from helixframe.runtime import materialize
 
@@ -26,16 +31,18 @@ RUN = 6
 #: Characters that are worked on together.
 CHUNK = 3_000_000
 
-#: Rule: (measure, repetitive from, clean up to, measure of size, least size for a clean vote).
+#: Rule: (measure, repetitive from, clean below, measure of size, least size for a vote).
 RULES = {
-    "phrase": ("repeated_share", 0.3, 0.05, "n_words", 1),
-    "sentence": ("sentence_share", 0.25, 0.0, "n_sentences", 5),
-    "paragraph": ("paragraph_share", 0.2, 0.0, "n_paragraphs", 3),
-    "pair": ("top_pair_share", 0.06, 0.02, "n_words", 50),
-    "variety": ("sameness", 0.8, 0.5, "n_words", 100),
+    "words": ("word_again", 0.5, 0.3, "n_words", 1),
+    "pairs": ("pair_again", 0.25, 0.25, "n_words", 1),
+    "triples": ("triple_again", 0.2, 0.2, "n_words", 1),
+    "sentences": ("sentence_again", 0.25, 1e-9, "n_sentences", 5),
+    "paragraphs": ("paragraph_again", 0.2, 1e-9, "n_paragraphs", 3),
 }
-MEASURES = ["n_words", "n_repeated", "n_sentences", "n_paragraphs"]
-SHARES = ["sentence_share", "paragraph_share", "top_pair_share", "sameness"]
+SIZES = ["n_words", "n_sentences", "n_paragraphs"]
+SHARES = [r[0] for r in RULES.values()]
+#: Documents from this posterior on count as repetitive.
+POSTERIOR = 0.5
 
 
 def _join_ids(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -88,36 +95,60 @@ def _seen_share(parts: list[str]) -> tuple[int, float]:
     return n, again / total if total else 0.0
 
 
-def measure(texts: list[str | None]) -> dict[str, np.ndarray]:
-    """The measures of each text. NULL counts as empty."""
-    low = [(t or "").lower() for t in texts]
-    words = [_WORD.findall(t) for t in low]
-    counts = np.array([len(w) for w in words], dtype=np.int64)
-    vocab: dict[str, int] = {}
-    ids = np.fromiter((vocab.setdefault(x, len(vocab)) for w in words for x in w), dtype=np.int64, count=int(counts.sum()))
-    doc = np.repeat(np.arange(len(texts)), counts)
-    per = lambda m: np.bincount(doc[m], minlength=len(texts))
-    rep = per(repeated_words(ids, doc))
-    firsts = np.zeros(len(ids), dtype=bool)
-    firsts[np.unique(doc * (len(vocab) + 1) + ids, return_index=True)[1]] = True
-    div = lambda a: np.divide(a, counts, out=np.zeros(len(texts)), where=counts > 0)
-    top = np.zeros(len(texts), dtype=np.int64)
-    if len(ids) > 1:
-        both = np.flatnonzero(doc[:-1] == doc[1:])
-        pair = _join_ids(ids[:-1], ids[1:])
-        keys, k = np.unique(doc[both] * (int(pair.max()) + 1) + pair[both], return_counts=True)
-        np.maximum.at(top, keys // (int(pair.max()) + 1), k)
-    sent = [_seen_share(_SENTENCE.split(t)) for t in low]
-    para = [_seen_share(t.split("\n")) for t in low]
-    return {
-        "n_words": counts, "n_repeated": rep.astype(np.int64),
-        "n_sentences": np.array([s[0] for s in sent], dtype=np.int64), "n_paragraphs": np.array([s[0] for s in para], dtype=np.int64),
-        "sentence_share": np.array([s[1] for s in sent], dtype=float), "paragraph_share": np.array([s[1] for s in para], dtype=float),
-        "top_pair_share": np.divide(top, counts - 1, out=np.zeros(len(texts)), where=top > 1), "sameness": np.where(counts > 0, 1 - div(per(firsts)), 0.0),
-    }
-
-
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Words:
+    """The words of some texts as ids, laid end to end."""
+
+    def __init__(self, texts: list[str | None]):
+        self.low = [(t or "").lower() for t in texts]
+        words = [_WORD.findall(t) for t in self.low]
+        self.n = len(texts)
+        self.counts = np.array([len(w) for w in words], dtype=np.int64)
+        vocab: dict[str, int] = {}
+        self.ids = np.fromiter((vocab.setdefault(x, len(vocab)) for w in words for x in w), dtype=np.int64, count=int(self.counts.sum()))
+        self.doc = np.repeat(np.arange(self.n), self.counts)
+
+    def rule_measures(self) -> dict[str, np.ndarray]:
+        """Sizes, and the measures the rules vote on."""
+        share = lambda a: np.divide(a, self.counts, out=np.zeros(self.n), where=self.counts > 0)
+        out = {"n_words": self.counts}
+        cur = self.ids
+        for width, name in ((1, "word_again"), (2, "pair_again"), (3, "triple_again")):
+            m = len(self.ids) - width + 1
+            if width > 1 and m > 0:
+                cur = _join_ids(cur[:m], self.ids[width - 1 :])
+            again = np.zeros(self.n, dtype=np.int64)
+            if m > 0:
+                at = np.flatnonzero(self.doc[:m] == self.doc[width - 1 :])
+                key = self.doc[at] * (int(cur.max()) + 1) + cur[at]
+                u = np.unique(key) // (int(cur.max()) + 1)
+                again = np.bincount(self.doc[at], minlength=self.n) - np.bincount(u, minlength=self.n)
+            out[name] = share(again)
+        for what, parts in (("sentence", (_SENTENCE.split(t) for t in self.low)), ("paragraph", (t.split("\n") for t in self.low))):
+            seen = [_seen_share(p) for p in parts]
+            out[f"n_{what}s"] = np.array([s[0] for s in seen], dtype=np.int64)
+            out[f"{what}_again"] = np.array([s[1] for s in seen], dtype=float)
+        return out
+
+    def repeated(self, of: np.ndarray | None = None) -> np.ndarray:
+        """Words of each text that lie in repeated runs; with ``of`` (one Boolean a text) 0 for the others."""
+        if of is None:
+            return np.bincount(self.doc[repeated_words(self.ids, self.doc)], minlength=self.n)
+        take = of[self.doc]
+        ids, doc = self.ids[take], self.doc[take]
+        return np.bincount(doc[repeated_words(ids, doc)], minlength=self.n)
+
+
+def votes(m: dict[str, np.ndarray]) -> list[str]:
+    """The vote pattern of each text, one letter a rule."""
+    cols = []
+    for col, yes, no, of, least in RULES.values():
+        big = m[of] >= least
+        cols.append(np.where(big & (m[col] >= yes), "1", np.where(big & (m[col] < no), "0", "-")))
+    return ["".join(v) for v in zip(*cols, strict=True)]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Words]]:
+    """Keys and words of texts that are worked on together; a long text is worked on alone."""
     for b in batches:
         texts = b.column("t").to_pylist()
         at = 0
@@ -126,22 +157,40 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             while end < len(texts) and (end == at or size + len(texts[end] or "") <= CHUNK):
                 size += len(texts[end] or "")
                 end += 1
-            m = measure(texts[at:end])
-            yield pa.RecordBatch.from_arrays([b.column("k").slice(at, end - at), *[pa.array(m[c]) for c in MEASURES + SHARES]], names=["k", *MEASURES, *SHARES])
+            yield b.column("k").slice(at, end - at), Words(texts[at:end])
             at = end
 
 
-def measures(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The measures and the vote pattern of each whole text. No shuffle; one row per input row."""
+def _batch(k: pa.Array, cols: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([k, *[pa.array(v) for v in cols.values()]], names=["k", *cols])
+
+
+def _keyed(df: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
     x = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    schema = f"k {x.schema['k'].dataType.simpleString()}, " + ", ".join([*(f"{c} bigint" for c in MEASURES), *(f"{c} double" for c in SHARES)])
-    m = x.mapInArrow(_measured, schema).withColumn("repeated_share", F.coalesce(F.try_divide("n_repeated", "n_words"), F.lit(0.0)))
-    votes = []
-    for name, (col, hi, lo, of, least) in RULES.items():
-        # The rule on phrases is the definition itself, so it compares integers.
-        yes = (F.col("n_words") > 0) & (F.col("n_repeated") * 10 >= F.col("n_words") * 3) if name == "phrase" else (F.col(of) > 1) & (F.col(col) >= hi)
-        votes.append(F.when(yes, "1").when((F.col(of) >= least) & (F.col(col) <= lo), "0").otherwise("-"))
-    return m.withColumn("votes", F.concat(*votes))
+    return x, f"k {x.schema['k'].dataType.simpleString()}"
+
+
+def rule_votes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``k, votes`` of each whole text. No shuffle; one row per input row."""
+
+    def run(batches):
+        for k, w in _chunks(batches):
+            yield _batch(k, {"votes": pa.array(votes(w.rule_measures()), pa.string())})
+
+    x, k = _keyed(df, key, text)
+    return x.mapInArrow(run, f"{k}, votes string")
+
+
+def measures(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every measure of each whole text, the exact one too, and its votes: ``k, n_words, ..., n_repeated, votes``."""
+
+    def run(batches):
+        for k, w in _chunks(batches):
+            m = w.rule_measures()
+            yield _batch(k, {**{c: m[c] for c in SIZES + SHARES}, "n_repeated": w.repeated().astype(np.int64), "votes": pa.array(votes(m), pa.string())})
+
+    x, k = _keyed(df, key, text)
+    return x.mapInArrow(run, ", ".join([k, *(f"{c} bigint" for c in SIZES), *(f"{c} double" for c in SHARES), "n_repeated bigint, votes string"]))
 
 
 def fit(patterns: dict[str, int], rounds: int = 200) -> tuple[dict[str, float], list[dict[str, float]]]:
@@ -180,17 +229,55 @@ def fit(patterns: dict[str, int], rounds: int = 200) -> tuple[dict[str, float],
     return {p: float(x) for p, x in zip(pats, q, strict=True)}, acc
 
 
-def repetition(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, float]:
-    """Measures, votes and the posterior ``p_repetitive`` of each document; and the candidate threshold.
+def _fitted(patterned: DataFrame) -> tuple[dict[str, float], list[dict[str, float]]]:
+    """Fit to the counts of vote patterns (at most 3 ** rules rows reach the driver)."""
+    return fit({r[0]: r[1] for r in patterned.groupBy("votes").agg(F.count(F.lit(1))).collect()})
+
+
+def posterior(votes_: Column, post: dict[str, float]) -> Column:
+    """The posterior of each pattern as a column; NULL for patterns that were not fitted."""
+    return F.create_map(*[v for p, x in post.items() for v in (F.lit(p), F.lit(x))])[votes_] if post else F.lit(None).cast("double")
 
-    The threshold is the lowest posterior of any pattern in which the phrase rule votes repetitive, so
-    documents below it cannot meet the definition. All documents enter the fit: their patterns are
-    counted (at most 3 ** rules rows) and only those counts reach the driver. NULL and empty texts have
-    no words and get the posterior of their pattern; repeated keys stay rows of their own.
+
+def repetition(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The exact share and all measures, the votes and the posterior ``p_repetitive`` of every document.
+
+    NULL and empty texts have no words, share 0 and the posterior of their pattern; repeated keys stay
+    rows of their own. An empty table gives no row.
     """
     m = materialize(measures(df, key, text), "repetition")
-    counts = {r[0]: r[1] for r in m.groupBy("votes").agg(F.count(F.lit(1))).collect()}
-    post, _ = fit(counts)
-    known = F.create_map(*[v for p, x in post.items() for v in (F.lit(p), F.lit(x))]) if post else F.create_map().cast("map<string,double>")
-    at = min((x for p, x in post.items() if p[0] == "1"), default=math.inf)
-    return m.withColumn("p_repetitive", known[F.col("votes")]).withColumnRenamed("k", key), at
+    post, _ = _fitted(m)
+    return m.withColumn("repeated_share", F.coalesce(F.try_divide("n_repeated", "n_words"), F.lit(0.0))).withColumn("p_repetitive", posterior(F.col("votes"), post)).withColumnRenamed("k", key)
+
+
+def likely_repetitive(df: DataFrame, key: str = "doc_id", text: str = "text", *, at_least: float = POSTERIOR) -> DataFrame:
+    """The documents whose posterior is at least ``at_least``, measured: ``key, n_words, n_repeated, p_repetitive``.
+
+    All documents vote and enter the fit; the texts are read a second time, and only those with such a
+    posterior pay for the exact measure. Rules that say clean can outweigh the others, so a document is
+    measured or left out by the model alone; :func:`repetition` measures all.
+    """
+    post, _ = _fitted(rule_votes(df, key, text))
+    x, k = _keyed(df, key, text)
+
+    def run(batches):
+        for key_, w in _chunks(batches):
+            p = np.array([post.get(v, 0.0) for v in votes(w.rule_measures())])
+            take = p >= at_least
+            at = np.flatnonzero(take)
+            yield _batch(key_.take(pa.array(at)), {"n_words": w.counts[at], "n_repeated": w.repeated(take)[at].astype(np.int64), "p_repetitive": p[at]})
+
+    return x.mapInArrow(run, f"{k}, n_words bigint, n_repeated bigint, p_repetitive double").withColumnRenamed("k", key)
+
+
+def quality(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, votes, p_clean``: the posterior probability that a document does not repeat itself."""
+    v = materialize(rule_votes(df, key, text), "votes")
+    post, _ = _fitted(v)
+    return v.select(F.col("k").alias(key), "votes", (1 - posterior(F.col("votes"), post)).alias("p_clean"))
+
+
+def rule_report(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``rule, coverage, accuracy``: how often each rule votes, and how often its vote is right by the model."""
+    _, acc = _fitted(rule_votes(df, key, text))
+    return df.sparkSession.createDataFrame([(n, a["coverage"], a["accuracy"]) for n, a in zip(RULES, acc)], "rule string, coverage double, accuracy double")
