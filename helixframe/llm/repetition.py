@@ -197,11 +197,13 @@ def fit(patterns: dict[str, int], rounds: int = 200) -> tuple[dict[str, float],
     """Posterior of each vote pattern, and the estimated accuracy of each rule where it votes.
 
     Latent class model with two classes and three outcomes per rule; it starts from the majority vote,
-    so the classes cannot be swapped. Counts are smoothed by one half.
+    so the classes cannot be swapped. Counts are smoothed by one half. A pattern without any vote says
+    nothing: it stays out of the fit and gets the share of repetitive documents as its posterior.
     """
-    pats = sorted(patterns)
+    pats = sorted(p for p in patterns if set(p) != {"-"})
+    silent = {p: 0.0 for p in patterns if set(p) == {"-"}}
     if not pats:
-        return {}, []
+        return silent, []
     n = np.array([patterns[p] for p in pats], dtype=float)
     r = len(pats[0])
     vote = np.array([["01-".index(c) for c in p] for p in pats])
@@ -226,7 +228,8 @@ def fit(patterns: dict[str, int], rounds: int = 200) -> tuple[dict[str, float],
         votes = {v: (n * (vote[:, j] == v)) for v in (0, 1)}
         right = (votes[1] * q).sum() + (votes[0] * (1 - q)).sum()
         acc.append({"coverage": float((votes[0] + votes[1]).sum() / n.sum()), "accuracy": float(right / max(1e-12, (votes[0] + votes[1]).sum()))})
-    return {p: float(x) for p, x in zip(pats, q, strict=True)}, acc
+    share = float((n * q).sum() / n.sum())
+    return {p: float(x) for p, x in zip(pats, q, strict=True)} | {p: share for p in silent}, acc
 
 
 def _fitted(patterned: DataFrame) -> tuple[dict[str, float], list[dict[str, float]]]:

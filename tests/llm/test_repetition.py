@@ -95,11 +95,15 @@ def test_fit_recovers_accuracies():
         p = "".join("-" if rng.random() < 0.2 else str(int(y if rng.random() < a else not y)) for a in acc)
         counts[p] = counts.get(p, 0) + 1
         truth.setdefault(p, []).append(y)
+    counts.pop("-----", None), truth.pop("-----", None)
     post, got = rp.fit(counts)
+    got_post = post
     assert all(abs(g["accuracy"] - a) < 0.05 for g, a in zip(got, acc))
-    right = sum((post[p] >= 0.5) == y for p, v in truth.items() for y in v) / 20_000
+    right = sum((post[p] >= 0.5) == y for p, v in truth.items() for y in v) / sum(map(len, truth.values()))
     assert right > 0.93
-    assert rp.fit({}) == ({}, [])
+    assert rp.fit({}) == ({}, []) and rp.fit({"-----": 3}) == ({"-----": 0.0}, [])
+    post, _ = rp.fit(counts | {"-----": 10**6})  # documents no rule votes on change nothing
+    assert abs(post["11111"] - got_post["11111"]) < 1e-6 and 0.15 < post["-----"] < 0.25
 
 
 def corpus(n=600, seed=7):
