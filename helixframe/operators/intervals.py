@@ -3,7 +3,10 @@
 Range joins are equi-joins on (chrom, level, bin). An interval belongs to the finest level whose bins
 are at least as long as it is, so at its own and every coarser level it lies in two bins at most,
 however long it is; a pair meets at the coarser of its two levels only, in its first common bin. No
-candidate is ever emitted twice, and short intervals never meet in coarse bins.
+candidate is ever emitted twice, and short intervals never meet in coarse bins. Bins of the coarsest
+levels hold whole chroms, so they are salted: the longer interval of a pair goes to every salt, the
+shorter one to its own. Which levels occur is a subquery over the borders, so both sides are joined in
+one scan each.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from helixframe.runtime import materialize
 
 #: Bins of the levels are powers of two wide, by steps of 8 from 2**14; the last holds everything.
 SHIFTS = [14, 17, 20, 23, 26, 29, 62]
+#: Salts of a bin of each level.
+SALTS = [1, 1, 1, 1, 8, 64, 64]
 
 BED3 = ["chrom", "chrom_start", "chrom_end"]
 
@@ -74,47 +79,54 @@ def _level(s: Column, e: Column) -> Column:
     return c
 
 
-def _levels(df: DataFrame) -> list[int]:
-    """Levels that occur (at most ``len(SHIFTS)`` numbers)."""
-    return sorted(r[0] for r in df.select("__lv").distinct().collect())
+def _levels(df: DataFrame, c: str) -> Column:
+    """Levels that occur (at most ``len(SHIFTS)`` numbers), as an array made by a subquery."""
+    return F.coalesce(df.agg(F.collect_set(c).alias("l")).scalar(), F.array().cast("array<int>"))
 
 
-def _bins(df: DataFrame, at: Column, p: str) -> DataFrame:
-    """One row per (level, bin) of the interval's rows, for the levels in the array ``at``."""
-    x = df.withColumn("__l", F.explode(at))
-    shift = f"CASE WHEN __l = {len(SHIFTS) - 1} THEN {SHIFTS[-1]} ELSE {SHIFTS[0]} + 3 * __l END"
-    lo, hi = (F.expr(f"shiftright({c}, {shift})") for c in (f"__{p}s", f"__{p}z"))
-    return x.withColumn(f"__{p}f", lo).withColumn("__b", F.explode(F.sequence(lo, hi))).withColumnRenamed("__l", f"__{p}l").withColumnRenamed("__b", f"__{p}b").drop("__lv")
+def _bins(df: DataFrame, p: str) -> DataFrame:
+    """One row per bin for each entry (level, role, spread) of the array ``__at``; ``spread`` fills all salts."""
+    pick = lambda v: F.element_at(F.array(*[F.lit(i) for i in v]), F.col("__e.l") + 1)
+    x = df.withColumn("__e", F.explode("__at"))
+    lo, hi = (F.call_function("shiftright", F.col(f"__{p}{c}"), pick(SHIFTS)) for c in "sz")
+    salts = pick(SALTS)
+    own = F.pmod(F.xxhash64(f"__{p}s", f"__{p}z"), salts)
+    x = x.withColumn(f"__{p}f", lo).withColumn(f"__{p}b", F.explode(F.sequence(lo, hi)))
+    x = x.withColumn(f"__{p}h", F.explode(F.when(F.col("__e.s"), F.sequence(F.lit(0), salts - 1)).otherwise(F.array(own.cast("int")))))
+    return x.withColumn(f"__{p}k", F.col("__e.l") * 2 + F.col("__e.r")).drop("__e", "__at", f"__{p}v")
 
 
-def range_join(a: DataFrame, b: DataFrame, *, within: bool = False, closed: bool = False, how: str = "inner", prefix: str = "b_", levels: tuple[list[int] | None, list[int] | None] = (None, None)) -> DataFrame:
+def range_join(a: DataFrame, b: DataFrame, *, within: bool = False, containing: bool = False, closed: bool = False, prefix: str = "b_", levels: tuple[list[int] | None, list[int] | None] = (None, None)) -> DataFrame:
     """Pairs of intervals that overlap: all columns of ``a``, and those of ``b`` with ``prefix``.
 
-    ``within``: b lies inside a. ``closed``: ends are inclusive, so touching counts. ``how``: ``inner``,
-    or ``semi``: rows of ``a`` with a partner, each once per bin it meets one in (see
-    :func:`intersect_bed`, which counts rows exactly). Half-open intervals of size 0 or less overlap
-    nothing; NULL chroms and borders match nothing. ``levels``: the levels of a and b where they are
-    known (points have level 0), else they are looked up first.
+    ``within``: b lies inside a; ``containing``: a lies inside b. ``closed``: ends are inclusive, so
+    touching counts. Half-open intervals of size 0 or less overlap nothing; NULL chroms and borders match
+    nothing. ``levels``: the levels of a and b where they are known (points have level 0), else they are
+    looked up by a subquery.
     """
-    prep = lambda d, p: d.withColumn(f"__{p}s", F.col("chrom_start").cast("bigint")).withColumn(f"__{p}z", F.col("chrom_end").cast("bigint") - (0 if closed else 1)).where(f"__{p}z >= __{p}s").withColumn("__lv", _level(F.col(f"__{p}s"), F.col(f"__{p}z") + 1))
+
+    def prep(d, p):
+        s, z = F.col("chrom_start").cast("bigint"), F.col("chrom_end").cast("bigint") - (0 if closed else 1)
+        return d.withColumns({f"__{p}s": s, f"__{p}z": z}).where(f"__{p}z >= __{p}s").withColumn(f"__{p}v", _level(F.col(f"__{p}s"), F.col(f"__{p}z") + 1))
+
     x = prep(a, "a")
     y = prep(b.select(*[F.col(c).alias(f"{prefix}{c}") for c in b.columns], "chrom_start", "chrom_end"), "b").drop("chrom_start", "chrom_end")
-    la, lb = (_levels(d) if v is None else v for d, v in zip((x, y), levels, strict=True))
-    levels_of = lambda v: F.array(*[F.lit(i) for i in v]) if v else F.array().cast("array<int>")
-    coarser = lambda v: F.filter(levels_of(v), lambda i: i > F.col("__lv"))
-    not_finer = lambda v: F.filter(levels_of(v), lambda i: i >= F.col("__lv"))
-    test = (F.col("__bs") >= F.col("__as")) & (F.col("__bz") <= F.col("__az")) if within else (F.col("__bs") <= F.col("__az")) & (F.col("__as") <= F.col("__bz"))
-    on = (F.col("chrom") == F.col(f"{prefix}chrom")) & (F.col("__al") == F.col("__bl")) & (F.col("__ab") == F.col("__bb"))
-    first = F.col("__ab") == F.greatest("__af", "__bf")
-    kind = "left_semi" if how == "semi" else "inner"
-    cond = on & test if how == "semi" else on & test & first
-    own = F.array("__lv")
-    # a at its own level meets b of that level or finer; then finer a meet b at b's own level.
-    j = _bins(x, own, "a").join(_bins(y, not_finer(la), "b"), cond, kind)
-    if any(v < w for v in la for w in lb):
-        j2 = _bins(x, coarser(lb), "a").join(_bins(y, own, "b"), cond, kind)
-        j = j.unionByName(j2)
-    return j.select(*a.columns) if how == "semi" else j.select(*a.columns, *[f"{prefix}{c}" for c in b.columns])
+    la, lb = (_levels(d, c) if v is None else F.array(*[F.lit(i) for i in v]).cast("array<int>") for d, c, v in ((x, "__av", levels[0]), (y, "__bv", levels[1])))
+    entry = lambda lv, role, spread: F.struct(lv.alias("l"), F.lit(role).alias("r"), F.lit(spread).alias("s"))
+    # Role 0: a is the longer one, or as long; role 1: b is. The longer one comes at its own level.
+    x = x.withColumn("__lv", lb)
+    x = x.withColumn("__at", F.concat(F.array(entry(F.col("__av"), 0, True)), F.transform(F.filter("__lv", lambda i: i > F.col("__av")), lambda i: entry(i, 1, False)))).drop("__lv")
+    y = y.withColumn("__lv", la)
+    y = y.withColumn("__at", F.concat(F.transform(F.filter("__lv", lambda i: i >= F.col("__bv")), lambda i: entry(i, 0, False)), F.when(F.exists("__lv", lambda i: i < F.col("__bv")), F.array(entry(F.col("__bv"), 1, True))).otherwise(F.array().cast("array<struct<l:int,r:int,s:boolean>>")))).drop("__lv")
+    c = {k: F.col(f"__{k}") for k in ("as", "az", "bs", "bz", "ak", "bk", "ab", "bb", "ah", "bh", "af", "bf")}
+    test = (c["bs"] <= c["az"]) & (c["as"] <= c["bz"])
+    if within:
+        test = (c["bs"] >= c["as"]) & (c["bz"] <= c["az"])
+    if containing:
+        test = (c["as"] >= c["bs"]) & (c["az"] <= c["bz"])
+    on = (F.col("chrom") == F.col(f"{prefix}chrom")) & (c["ak"] == c["bk"]) & (c["ab"] == c["bb"]) & (c["ah"] == c["bh"])
+    j = _bins(x, "a").join(_bins(y, "b"), on & test & (c["ab"] == F.greatest("__af", "__bf")))
+    return j.select(*a.columns, *[f"{prefix}{c}" for c in b.columns])
 
 
 def build_side(df: DataFrame, **aggs: Column) -> DataFrame:
@@ -128,33 +140,53 @@ def query_intersect(a: DataFrame, b: DataFrame) -> DataFrame:
     return range_join(a, build_side(b))
 
 
-def _with_id(a: DataFrame) -> DataFrame:
-    return a.withColumn("__id", F.monotonically_increasing_id())
+def _islands(b: DataFrame) -> DataFrame:
+    """Periods and the gaps between them, written: ``chrom, span_kind, span_start, span_end``."""
+    return materialize(periods_and_gaps(b, ["chrom"], "chrom_start", "chrom_end"), "islands")
+
+
+def _hits(a: DataFrame, islands: DataFrame) -> DataFrame:
+    """Rows of ``a`` with a partner, each once: of the periods a row overlaps only the first has its predecessor's end at or before the row."""
+    gap = islands.where("span_kind = 'gap'").select(F.col("chrom").alias("gc"), F.col("span_end").alias("ge"), F.col("span_start").alias("before"))
+    p = islands.where("span_kind = 'period'").join(gap, (F.col("chrom") == F.col("gc")) & (F.col("span_start") == F.col("ge")), "left")
+    p = p.select("chrom", F.col("span_start").alias("chrom_start"), F.col("span_end").alias("chrom_end"), "before")
+    return range_join(a, p, prefix="__i_").where("__i_before IS NULL OR __i_before <= chrom_start").select(*a.columns)
+
+
+def _misses(a: DataFrame, islands: DataFrame) -> DataFrame:
+    """Rows of ``a`` without a partner: those beyond the first and last period of their chrom or of no size, and those inside one gap."""
+    ends = islands.where("span_kind = 'period'").groupBy(F.col("chrom").alias("__c")).agg(F.min("span_start").alias("__lo"), F.max("span_end").alias("__hi"))
+    at = a.join(ends, F.col("chrom") == F.col("__c"), "left")
+    away = F.col("__c").isNull() | F.coalesce((F.col("chrom_end") <= F.col("chrom_start")) | (F.col("chrom_end") <= F.col("__lo")) | (F.col("chrom_start") >= F.col("__hi")), F.lit(True))
+    gaps = islands.where("span_kind = 'gap'").select("chrom", F.col("span_start").alias("chrom_start"), F.col("span_end").alias("chrom_end"))
+    inside = range_join(at.where(~away).select(*a.columns), gaps, containing=True, prefix="__i_")
+    return at.where(away).select(*a.columns).unionByName(inside.select(*a.columns))
 
 
 def intersect_bed(a: DataFrame, b: DataFrame, *, negate: bool = False) -> DataFrame:
     """Rows of ``a`` that overlap any of ``b`` (``negate``: that overlap none), repeats kept.
 
-    ``b`` is merged first: one period per stretch, so a pile of intervals costs one candidate, and
-    every row of ``a`` with a partner is found as a candidate of few periods.
+    ``b`` is merged first: one period per stretch, so a pile of intervals costs one candidate. Whether a
+    row comes out follows from its own borders, so rows need no numbers, and a side that is read in
+    another order the second time makes no difference.
     """
-    x = _with_id(a)
-    ids = range_join(x, materialize(merge_bed(b), "merged"), how="semi").select("__id").distinct()
-    return x.join(ids, "__id", "left_anti" if negate else "left_semi").drop("__id")
+    return (_misses if negate else _hits)(a, _islands(b))
 
 
 def intersect_bed_with(a: DataFrame, b: DataFrame, name: str = "overlaps") -> DataFrame:
     """Every row of ``a`` with the sorted array of the intervals of ``b`` it overlaps (empty if none).
 
     The array holds structs of the columns of ``b``, ordered by start and end. Its length is the
-    result asked for; use :func:`query_intersect` where one row per pair is enough.
+    result asked for; use :func:`query_intersect` where one row per pair is enough. Rows with partners
+    are numbered where they are read and take their columns along, so they are read once; those without
+    come from :func:`intersect_bed`.
     """
-    x = _with_id(a)
     cols = ["chrom_start", "chrom_end", *[c for c in b.columns if c not in ("chrom_start", "chrom_end")]]
-    pairs = range_join(x.select("__id", *BED3), b)
-    g = pairs.groupBy("__id").agg(F.sort_array(F.collect_list(F.struct(*[F.col(f"b_{c}").alias(c) for c in cols]))).alias(name))
-    none = F.array().cast(g.schema[name].dataType)
-    return x.join(g, "__id", "left").withColumn(name, F.coalesce(name, none)).drop("__id")
+    x = a.withColumn("__id", F.monotonically_increasing_id())
+    pairs = range_join(x, b, prefix="__b_")
+    g = pairs.groupBy("__id").agg(F.first(F.struct(*a.columns)).alias("__r"), F.sort_array(F.collect_list(F.struct(*[F.col(f"__b_{c}").alias(c) for c in cols]))).alias("__o"))
+    some = g.select(*[F.col("__r")[c].alias(c) for c in a.columns], F.col("__o").alias(name))
+    return some.unionByName(intersect_bed(a, b, negate=True).withColumn(name, F.array().cast(g.schema["__o"].dataType)))
 
 
 # --- merging and depth ---------------------------------------------------------------------------
@@ -179,19 +211,21 @@ def merge_bed_with(df: DataFrame, **aggs: Column) -> DataFrame:
 def depth_segments(df: DataFrame) -> DataFrame:
     """Stretches of equal depth: ``chrom, chrom_start, chrom_end, depth`` (depth 0 is not listed).
 
-    Starts add one, ends take one off; events are summed per position before they are ordered. The
-    running sum is taken inside merged periods, the depth being 0 at their borders, so the window is
-    as long as one period and not as one chrom.
+    Starts add one, ends take one off; events are summed per position, range-partitioned and summed up
+    within their part. The depth at the start of a part, and the first position of the next, come from a
+    table with one row per part and chrom, so no window spans a chrom, however dense its coverage.
     """
-    x = df.where("chrom_end > chrom_start")
-    ev = x.select("chrom", F.explode(F.array(F.struct(F.col("chrom_start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("chrom_end").alias("pos"), F.lit(-1).alias("d")))).alias("e")).groupBy("chrom", "e.pos").agg(F.sum("e.d").alias("d"))
-    # An event belongs to the period [start, end]; periods do not touch, so it is unique.
-    points = ev.select("chrom", F.col("pos").alias("chrom_start"), (F.col("pos") + 1).alias("chrom_end"), "d")
-    spans = materialize(merge_bed(x), "merged").withColumn("chrom_end", F.col("chrom_end") + 1)
-    p = range_join(points, spans, prefix="m_", levels=([0], None))
-    w = Window.partitionBy("chrom", "m_chrom_start").orderBy("chrom_start")
-    s = p.select("chrom", "m_chrom_start", "chrom_start", F.lead("chrom_start").over(w).alias("chrom_end"), F.sum("d").over(w).alias("depth"))
-    return s.where("chrom_end IS NOT NULL AND depth > 0").select("chrom", "chrom_start", "chrom_end", "depth")
+    x = df.where("chrom_end > chrom_start AND chrom IS NOT NULL")
+    ends = F.explode(F.array(F.struct(F.col("chrom_start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("chrom_end").alias("pos"), F.lit(-1).alias("d"))))
+    ev = x.select("chrom", ends.alias("e")).groupBy("chrom", "e.pos").agg(F.sum("e.d").alias("d"))
+    s = materialize(ev.repartitionByRange("chrom", "pos").withColumn("part", F.spark_partition_id()), "events")
+    over = Window.partitionBy("chrom").orderBy("part")  # one row a part
+    parts = s.groupBy("chrom", "part").agg(F.sum("d").alias("t"), F.min("pos").alias("lo"))
+    parts = parts.select(F.col("chrom").alias("pc"), F.col("part").alias("pp"), (F.sum("t").over(over) - F.col("t")).alias("entry"), F.lead("lo").over(over).alias("nxt"))
+    w = Window.partitionBy("chrom", "part").orderBy("pos")
+    y = s.withColumns({"run": F.sum("d").over(w), "to": F.lead("pos").over(w)}).join(parts, (F.col("chrom") == F.col("pc")) & (F.col("part") == F.col("pp")))
+    y = y.select("chrom", F.col("pos").alias("chrom_start"), F.coalesce("to", "nxt").alias("chrom_end"), (F.col("run") + F.col("entry")).alias("depth"))
+    return y.where("depth > 0")
 
 
 # --- splitters -----------------------------------------------------------------------------------
@@ -237,12 +271,14 @@ def mono_clonalize(df: DataFrame, tie: str) -> DataFrame:
 def is_sorted(df: DataFrame, index: str, cols: list[str]) -> DataFrame:
     """One row ``ascending, descending``: whether the rows, ordered by ``index``, are monotone over ``cols``.
 
-    The index is cut into ranges, each checked by its own task; borders are compared in a bounded table.
+    The index (a whole number) is cut into ranges, each checked by its own task; summaries of neighbouring
+    ranges (first and last row, and what was found) are merged a thousand at a time, in a tree.
     """
-    x = df.select(F.col(index).alias("i"), F.struct(*cols).alias("v")).withColumn("p", F.floor(F.col("i") / F.lit(100_000)))
-    w = Window.partitionBy("p").orderBy("i")
-    y = x.withColumn("b", F.lag("v").over(w))
-    g = y.groupBy("p").agg(F.max(F.col("v") < F.col("b")).alias("dn"), F.max(F.col("v") > F.col("b")).alias("up"), F.min_by("v", "i").alias("f"), F.max_by("v", "i").alias("l"))
-    h = g.withColumn("pl", F.lag("l").over(Window.orderBy("p")))
-    bad = lambda c, b: F.coalesce(F.max(F.coalesce(c, F.lit(False)) | F.coalesce(b, F.lit(False))), F.lit(False))
-    return h.agg((~bad(F.col("dn"), F.col("f") < F.col("pl"))).alias("ascending"), (~bad(F.col("up"), F.col("f") > F.col("pl"))).alias("descending"))
+    x = df.select(F.col(index).cast("bigint").alias("p"), F.struct(*cols).alias("f")).withColumns({"l": F.col("f"), "dn": F.lit(False), "up": F.lit(False)})
+    for _ in range(7):  # 1,000 ** 7 is above every BIGINT
+        w = Window.partitionBy("g").orderBy("p")
+        x = x.withColumn("g", F.floor(F.col("p") / F.lit(1000))).withColumn("b", F.lag("l").over(w))
+        found = lambda c, test: F.max(F.col(c) | F.coalesce(test, F.lit(False))).alias(c)
+        x = x.groupBy("g").agg(F.min_by("f", "p").alias("f"), F.max_by("l", "p").alias("l"), found("dn", F.col("f") < F.col("b")), found("up", F.col("f") > F.col("b"))).withColumnRenamed("g", "p")
+    none = lambda c: (~F.coalesce(F.max(c), F.lit(False))).alias
+    return x.agg(none("dn")("ascending"), none("up")("descending"))

@@ -79,8 +79,8 @@ def j1_build_side(spark: SparkSession, d: str) -> DataFrame:
 
 
 _MERGED = """b AS (SELECT * FROM tags WHERE chrom_end > chrom_start),
- mm AS (SELECT *, max(chrom_end) OVER (PARTITION BY chrom ORDER BY chrom_start, chrom_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM b),
- gg AS (SELECT *, sum(CASE WHEN pe IS NULL OR chrom_start > pe THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY chrom_start, chrom_end ROWS UNBOUNDED PRECEDING) AS isl FROM mm)"""
+ mm AS (SELECT *, max(chrom_end) OVER (PARTITION BY chrom ORDER BY chrom_start, chrom_end, rec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM b),
+ gg AS (SELECT *, sum(CASE WHEN pe IS NULL OR chrom_start > pe THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY chrom_start, chrom_end, rec_id ROWS UNBOUNDED PRECEDING) AS isl FROM mm)"""
 SQL["merged"] = _MERGED
 
 
@@ -198,9 +198,9 @@ def a10_tag_histogram(spark: SparkSession, d: str) -> DataFrame:
     return ct.tag_count_distribution(dv.tags(spark, d))
 
 
-SQL["windows"] = """w0 AS (SELECT np_chrom AS chrom, floor((np_start + np_end) / 2.0)::BIGINT - 2000 AS s, floor((np_start + np_end) / 2.0)::BIGINT + 2000 AS e FROM narrowpeak),
- w1 AS (SELECT *, max(e) OVER (PARTITION BY chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM w0),
- w2 AS (SELECT *, sum(CASE WHEN pe IS NULL OR s > pe THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS isl FROM w1)"""
+SQL["windows"] = """w0 AS (SELECT np_chrom AS chrom, floor((np_start + np_end) / 2.0)::BIGINT - 2000 AS s, floor((np_start + np_end) / 2.0)::BIGINT + 2000 AS e, peak_id FROM narrowpeak),
+ w1 AS (SELECT *, max(e) OVER (PARTITION BY chrom ORDER BY s, e, peak_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM w0),
+ w2 AS (SELECT *, sum(CASE WHEN pe IS NULL OR s > pe THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY s, e, peak_id ROWS UNBOUNDED PRECEDING) AS isl FROM w1)"""
 
 
 @query("SELECT chrom, min(s) AS chrom_start, max(e) AS chrom_end, count(*) AS score FROM w2 GROUP BY chrom, isl HAVING count(*) >= 2", "windows")

@@ -122,9 +122,9 @@ _P5 = """
  orph AS (SELECT table_name, row_id, ref_id, CASE WHEN obo_id IS NULL THEN 'missing' WHEN b > d THEN 'late' WHEN e <= d THEN 'deleted' END AS ref_kind, strftime(d, '%Y-%m') AS ref_month FROM refs LEFT JOIN par ON ref_id = obo_id WHERE ref_id IS NOT NULL)"""
 
 _P4 = """
- b AS (SELECT track_id, chrom, chrom_start AS s, chrom_end AS e FROM bed WHERE chrom_end > chrom_start),
- m AS (SELECT *, max(e) OVER (PARTITION BY track_id, chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM b),
- g AS (SELECT *, sum(CASE WHEN pe IS NULL OR s > pe THEN 1 ELSE 0 END) OVER (PARTITION BY track_id, chrom ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM m),
+ b AS (SELECT rec_id, track_id, chrom, chrom_start AS s, chrom_end AS e FROM bed WHERE chrom_end > chrom_start),
+ m AS (SELECT *, max(e) OVER (PARTITION BY track_id, chrom ORDER BY s, e, rec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM b),
+ g AS (SELECT *, sum(CASE WHEN pe IS NULL OR s > pe THEN 1 ELSE 0 END) OVER (PARTITION BY track_id, chrom ORDER BY s, e, rec_id ROWS UNBOUNDED PRECEDING) AS i FROM m),
  p AS (SELECT track_id, chrom, min(s) AS s, max(e) AS e FROM g GROUP BY track_id, chrom, i),
  q AS (SELECT *, lead(s) OVER (PARTITION BY track_id, chrom ORDER BY s) AS ns FROM p)"""
 

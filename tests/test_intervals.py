@@ -52,7 +52,7 @@ def frame(spark, rows, name="id"):
     return spark.createDataFrame(rows, f"{name} int, chrom string, chrom_start bigint, chrom_end bigint")
 
 
-def hit(x, y, closed=False, within=False):
+def hit(x, y, closed=False, within=False, containing=False):
     (_, c, s, e), (_, c2, s2, e2) = x, y
     if c is None or c != c2 or None in (s, s2):
         return False
@@ -60,10 +60,12 @@ def hit(x, y, closed=False, within=False):
         return False
     if within:
         return s2 >= s and e2 <= e
+    if containing:
+        return s >= s2 and e <= e2
     return (s <= e2 and s2 <= e) if closed else (s < e2 and s2 < e)
 
 
-@pytest.mark.parametrize("kw", [{}, {"closed": True}, {"within": True}])
+@pytest.mark.parametrize("kw", [{}, {"closed": True}, {"within": True}, {"containing": True}])
 def test_range_join(spark, kw):
     a, b = rand(300, 1), rand(300, 2)
     got = sorted((r.id, r.b_id) for r in iv.range_join(frame(spark, a), frame(spark, b), **kw).select("id", "b_id").collect())
@@ -83,6 +85,47 @@ def test_semi_anti_collect(spark):
     assert iv.intersect_bed(fa, fb.limit(0)).count() == 0 and iv.intersect_bed(fa.limit(0), fb).count() == 0
 
 
+def test_left_side_in_another_order_each_time(spark):
+    """Neither the semi nor the collecting join may rely on rows that are numbered twice."""
+    base = spark.range(20_000).selectExpr("id", "concat('c', id % 3) chrom", "id * 10 chrom_start", "id * 10 + 5 chrom_end")
+    a = base.orderBy(F.rand())
+    b = base.where("id % 100 = 7").select("chrom", "chrom_start", "chrom_end")
+    want = [i for i in range(20_000) if i % 100 == 7]
+    assert sorted(r.id for r in iv.intersect_bed(a, b).collect()) == want
+    assert iv.intersect_bed(a, b, negate=True).count() == 19_800
+    w = {r.id: len(r.overlaps) for r in iv.intersect_bed_with(a, b).collect()}
+    assert len(w) == 20_000 and {k for k, v in w.items() if v == 1} == set(want) and sum(w.values()) == 200
+
+
+def test_one_long_interval_does_not_gather_all_short_ones(spark):
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "64"}
+    old = {k: spark.conf.get(k) for k in conf}
+    short = spark.range(1_000_000).selectExpr("id", "'c' chrom", "id * 1000 chrom_start", "id * 1000 + 50 chrom_end")
+    long_ = spark.createDataFrame([("c", 0, 1 << 30)], "chrom string, chrom_start bigint, chrom_end bigint")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for j in (iv.range_join(short, long_), iv.range_join(long_, short)):
+            n = [r["count"] for r in j.groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(n) == 1_000_000 and max(n) < 100_000
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_depth_of_one_dense_period(spark):
+    rng = random.Random(8)
+    rows = [("c", s, s + rng.randrange(1, 60)) for s in (rng.randrange(3000) for _ in range(2000))] + [(None, 1, 5), ("d", 4, 4)]
+    df = spark.createDataFrame(rows, "chrom string, chrom_start bigint, chrom_end bigint")
+    got = sorted((r.chrom_start, r.chrom_end, r.depth) for r in iv.depth_segments(df).collect())
+    cov = [0] * 3100
+    for _, s, e in rows[:-2]:
+        for i in range(s, e):
+            cov[i] += 1
+    assert all(cov[i] == d for s, e, d in got for i in range(s, e)) and sum(e - s for s, e, _ in got) == sum(c > 0 for c in cov)
+    assert {s for s, _, _ in got} | {e for _, e, _ in got} == {x for _, s, e in rows[:-2] for x in (s, e)}
+
+
 def test_clip_sort_clonal(spark):
     b = spark.createDataFrame([("a", -5, 3), ("a", -5, -1), ("a", 8, 20), ("a", 10, 12), ("z", 1, 2)], "chrom string, chrom_start bigint, chrom_end bigint")
     sz = spark.createDataFrame([("a", 10)], "chrom string, size bigint")
@@ -97,6 +140,10 @@ def test_clip_sort_clonal(spark):
     v = spark.createDataFrame([(i, i // 2) for i in range(10)], "i int, v int")
     assert tuple(iv.is_sorted(v, "i", ["v"]).collect()[0]) == (True, False)
     assert tuple(iv.is_sorted(v.limit(0), "i", ["v"]).collect()[0]) == (True, True)
+    far = spark.range(5000).selectExpr("id * 77777777 i", "-id v")
+    assert tuple(iv.is_sorted(far.repartition(7), "i", ["v"]).collect()[0]) == (False, True)
+    one = far.selectExpr("i", "CASE WHEN i = 77777777L * 3000 THEN 1 ELSE v END v")
+    assert tuple(iv.is_sorted(one, "i", ["v"]).collect()[0]) == (False, False)
 
 
 def test_counting(spark):
