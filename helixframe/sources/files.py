@@ -9,32 +9,57 @@ worker never holds a file. Paths go through pyarrow's file systems (local, hdfs,
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import io
 import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 _ROWS = 5_000
 
 
-def _open(path: str):
-    if "://" in path:
-        from pyarrow import fs
-
-        f, p = fs.FileSystem.from_uri(path)
-        raw = f.open_input_stream(p, compression=None)
+def _system(path: str) -> tuple[fs.FileSystem, str, str]:
+    """File system, path in it, and what to put before its paths again."""
+    if "://" not in path:
+        return fs.LocalFileSystem(), path.removeprefix("file:"), ""
+    wild = re.search(r"[*?\[]", path)
+    head = path[: wild.start()].rpartition("/")[0] if wild else path
+    f, p = fs.FileSystem.from_uri(head)
+    return f, p + path[len(head) :], head[: len(head) - len(p)] if head.endswith(p) else path.split("://", 1)[0] + "://"
+
+
+def list_files(path: str) -> list[str]:
+    """Files of a path, a folder or a pattern (``*``, ``?``, ``[..]``) on any file system; hidden ones are left out."""
+    f, p, before = _system(path)
+    wild = re.search(r"[*?\[]", p)
+    if not wild:
+        info = f.get_file_info(p)
+        if info.type == fs.FileType.NotFound:
+            raise FileNotFoundError(path)
+        found = [info] if info.type == fs.FileType.File else f.get_file_info(fs.FileSelector(p))
     else:
-        raw = open(path, "rb")
-    return raw
+        base = p[: wild.start()].rpartition("/")[0] or ("/" if p.startswith("/") else ".")
+        every = f.get_file_info(fs.FileSelector(base, recursive=True))
+        same = lambda x: x.count("/") == p.count("/") and all(fnmatch.fnmatchcase(y, z) for y, z in zip(x.split("/"), p.split("/")))
+        found = [i for i in every if same(i.path)]
+    return [before + i.path for i in sorted(found, key=lambda i: i.path) if i.type == fs.FileType.File and not re.search(r"(\A|/)[._][^/]*$", i.path)]
+
+
+def _open(path: str):
+    f, p, _ = _system(path)
+    return f.open_input_stream(p, compression=None)
 
 
 def chunks(path: str, size: int = 1 << 20) -> Iterator[bytes]:
-    """Bytes of a file; gzip of any number of members is inflated."""
+    """Bytes of a file; gzip of any number of members is inflated. A file that ends inside a member raises."""
     with _open(path) as f:
         data = f.read(size)
         if data[:2] != b"\x1f\x8b":
@@ -42,15 +67,15 @@ def chunks(path: str, size: int = 1 << 20) -> Iterator[bytes]:
                 yield data
                 data = f.read(size)
             return
-        z = zlib.decompressobj(31)
+        z, inside = zlib.decompressobj(31), True
         while data:
             yield z.decompress(data)
             if z.eof:
                 data = z.unused_data or f.read(size)
-                z = zlib.decompressobj(31)
+                z, inside = zlib.decompressobj(31), bool(data)
             else:
                 data = f.read(size)
-        if not z.eof and z.decompress(b"") == b"" and z.unconsumed_tail:
+        if inside:
             raise ValueError(f"truncated gzip: {path}")
 
 
@@ -110,8 +135,8 @@ def fastq_records(rows: Iterator[str]) -> Iterator[tuple[str, str, str]]:
 
 
 class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, number: int):
+        self.path, self.number = path, number
 
 
 class _Reader(DataSourceReader):
@@ -119,14 +144,7 @@ class _Reader(DataSourceReader):
         self.path, self.names, self.rows = options["path"], names, rows
 
     def partitions(self):
-        if "://" in self.path and not any(c in self.path for c in "*?["):
-            return [_File(self.path)]
-        found = sorted(glob.glob(self.path)) or [self.path]
-        out = []
-        for p in found:
-            inner = sorted(glob.glob(f"{p}/*")) if glob.os.path.isdir(p) else [p]
-            out += [_File(x) for x in inner if not re.search(r"/[._][^/]*$", x)]
-        return out
+        return [_File(x, i) for i, x in enumerate(list_files(self.path))]
 
     def read(self, partition):
         held: list[tuple] = []
@@ -255,7 +273,7 @@ def bam_records(path: str) -> Iterator[tuple]:
 
 
 class BamSource(DataSource):
-    """Alignment records of BAM files, see ``BAM_COLUMNS``."""
+    """Alignment records of BAM files, see ``BAM_COLUMNS``; one task a file (:func:`write_bam_files` writes many)."""
 
     @classmethod
     def name(cls):
@@ -269,6 +287,18 @@ class BamSource(DataSource):
 
 
 class _BamReader(_Reader):
+    def read(self, partition):
+        """Records of file i are numbered from i * 2 ** 40 on, so that neighbours of one file stay neighbours."""
+        at = partition.number << 40
+        held: list[tuple] = []
+        for r in self.rows(partition.path):
+            held.append((at + r[0], *r[1:]))
+            if len(held) >= _ROWS:
+                yield self._batch(held)
+                held = []
+        if held:
+            yield self._batch(held)
+
     def _batch(self, held):
         kinds = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string())]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names=self.names)
@@ -291,9 +321,10 @@ def _bgzf(data: bytes) -> bytes:
 
 
 def write_bam(path: str, header: str, refs: list[tuple[str, int]], records: Iterator[tuple]) -> None:
-    """Write records (tuples of ``BAM_COLUMNS``; text tags only) as one BAM file, streaming."""
+    """Write records (tuples of ``BAM_COLUMNS``; text tags only) as one BAM file on any file system, streaming."""
     ids = {r: i for i, (r, _) in enumerate(refs)}
-    with open(path, "wb") as f:
+    system, own, _ = _system(path)
+    with system.open_output_stream(own, compression=None) as f:
         h = header.encode()
         buf = io.BytesIO()
         buf.write(b"BAM\1" + struct.pack("<i", len(h)) + h + struct.pack("<i", len(refs)))
@@ -320,6 +351,24 @@ def write_bam(path: str, header: str, refs: list[tuple[str, int]], records: Iter
         f.write(_bgzf(b""))
 
 
+def write_bam_files(df: DataFrame, folder: str, header: str, refs: list[tuple[str, int]]) -> list[str]:
+    """Write a table of ``BAM_COLUMNS`` as one file a partition, in the order of its rows, and return the paths.
+
+    Files are written under a name of their own per attempt, and only those of finished tasks are
+    returned, so a lost or repeated task leaves nothing that counts. An empty partition gives an empty file.
+    """
+    system, own, _ = _system(folder)
+    system.create_dir(own, recursive=True)
+
+    def run(batches):
+        path = f"{folder}/part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex[:8]}.bam"
+        rows = (tuple(r) for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        write_bam(path, header, refs, rows)
+        yield pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
+
+    return sorted(r[0] for r in df.select(*BAM_COLUMNS).mapInArrow(run, "path string").collect())
+
+
 SOURCES = [FastaSource, FastqSource, BamSource]
 
 

@@ -175,3 +175,31 @@ def test_rest_source_reads_local_urls(spark, tmp_path):
         (tmp_path / f"{i}.json").write_text(json.dumps({"n": i}))
     df = rest.fetch(spark, [f"file://{tmp_path}/{i}.json" for i in range(3)])
     assert sorted(r[0] for r in df.select(F.variant_get("value", "$.n", "int")).collect()) == [0, 1, 2]
+
+
+def test_listing_and_truncated_gzip(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    for n in ("b.fq", "a.fq", "_x.fq", ".y.fq"):
+        (tmp_path / "d" / n).write_text("@r\nAC\n+\nII\n")
+    want = [f"{tmp_path}/d/a.fq", f"{tmp_path}/d/b.fq"]
+    assert files.list_files(f"{tmp_path}/d") == want and files.list_files(f"{tmp_path}/*/[ab].fq") == want
+    assert files.list_files(f"file://{tmp_path}/d/*.fq") == ["file://" + w for w in want]
+    with pytest.raises(FileNotFoundError):
+        files.list_files(f"{tmp_path}/none")
+    data = gzip.compress(b"".join(b"line %d\n" % i for i in range(50_000)))
+    (tmp_path / "whole.gz").write_bytes(data + data)
+    assert sum(1 for _ in files.lines(str(tmp_path / "whole.gz"))) == 100_000
+    for cut in (len(data) // 2, len(data) + 40):
+        (tmp_path / "cut.gz").write_bytes((data + data)[:cut])
+        with pytest.raises(ValueError, match="truncated"):
+            sum(1 for _ in files.lines(str(tmp_path / "cut.gz")))
+
+
+def test_bam_files_of_all_partitions(spark, tmp_path):
+    df = spark.range(900).selectExpr("id rec_no", "concat('q', id div 2) qname", "cast(64 * (1 + id % 2) + 1 as int) flag", "'c' ref", "id pos", "cast(9 as int) mapq", "'5M' cigar", "'c' mate_ref", "id mate_pos", "cast(0 as int) tlen", "'ACGTA' seq", "'IIIII' qual", "cast(map('MC', '5M') as map<string,string>) tags").repartitionByRange(3, "rec_no").sortWithinPartitions("rec_no")
+    paths = files.write_bam_files(df, f"file://{tmp_path}/out", "@HD\tSO:queryname\n", [("c", 1000)])
+    assert len(paths) == 3
+    files.register(spark)
+    got = spark.read.format("bam").load(f"{tmp_path}/out")
+    assert got.count() == 900 and got.select("rec_no").distinct().count() == 900
+    assert rd.sorted_bam_to_bedpe(got, "SO:queryname").count() == 450
