@@ -1,5 +1,5 @@
 """Catalogues of queries with their SQL counterparts."""
 
-from helixframe.plans import genomics, problems
+from helixframe.plans import files, genomics, problems
 
-CATALOGUES = [genomics, problems]
+CATALOGUES = [genomics, files, problems]

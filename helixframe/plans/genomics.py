@@ -16,13 +16,13 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(sql: str | None = None, *parts: str):
+def query(sql: str | None = None, *parts: str, queries: dict | None = None, oracle: dict | None = None):
     """Register a query under its function's name, with its SQL (``parts`` name shared tables)."""
 
     def add(f):
-        QUERIES[f.__name__] = f
+        (QUERIES if queries is None else queries)[f.__name__] = f
         if sql:
-            ORACLE[f.__name__] = ("WITH " + ", ".join(SQL[p] for p in parts) + " " if parts else "") + sql
+            (ORACLE if oracle is None else oracle)[f.__name__] = ("WITH " + ", ".join(SQL[p] for p in parts) + " " if parts else "") + sql
         return f
 
     return add
