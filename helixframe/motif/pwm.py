@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 from dataclasses import dataclass, field
 
@@ -140,34 +139,45 @@ def max_match(m: np.ndarray, seq: str, bg=UNIFORM) -> float:
 
 
 # --- score distribution --------------------------------------------------------------------------
-def score_cdf(m: np.ndarray, bg=UNIFORM, *, precision: float = 1e-5, max_bins: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+# Fixed values of the score grid: the finest bin, and the most bins.
+GRID_STEP, GRID_BINS = 1e-5, 200_000
+
+
+def score_cdf(m: np.ndarray, bg=UNIFORM, *, precision: float = GRID_STEP, max_bins: int = GRID_BINS) -> tuple[np.ndarray, np.ndarray]:
     """Distribution of scores under the background: values and P(X <= value).
 
-    Row by row the density is convolved on a grid of at most ``max_bins`` bins of width ``precision``
-    or more. Rows without any choice leave it as it is. Flat stretches are compressed; the first and
-    last points always stay.
+    The score of a word is a sum of independent rows, so its density is the convolution of theirs, taken
+    on a grid of at most ``max_bins`` bins of ``precision`` or more and read at their centres. Rows in
+    which all letters score alike shift nothing. Only the two ends of flat stretches are kept.
     """
-    b = np.asarray(bg, dtype=float)
-    steps = np.log(np.where(m == 0, CDF_PSEUDO, m)) - np.log(b)
-    at, dens = np.zeros(1), np.ones(1)
-    for row in steps:
-        nz = np.flatnonzero(dens)
-        lo, hi = at[nz[0]] + row.min(), at[nz[-1]] + row.max()
-        if not lo < hi:
+    weights = np.asarray(bg, dtype=float)
+    rows = np.log(np.where(m == 0, CDF_PSEUDO, m)) - np.log(weights)
+    value, mass = np.zeros(1), np.ones(1)  # scores that occur, and their probability
+    ends = np.zeros(1)
+    for row in rows:
+        low, high = value[0] + row.min(), value[-1] + row.max()
+        if low >= high:
             continue
-        n = min(max_bins, math.ceil((hi - lo) / precision))
-        width = (hi - lo) / n
-        new = np.zeros(n)
-        for p, s in zip(b, row, strict=True):
-            j = np.minimum(((at[nz] + s - lo) / width).astype(np.int64), n - 1)
-            new += np.bincount(j, p * dens[nz], n)
-        at, dens = (np.arange(n) + 0.5) * width + lo, new
-    c = np.cumsum(dens)
-    eps = np.finfo(float).eps
-    up = np.diff(c) > eps
-    keep = np.ones(len(c), dtype=bool)
-    keep[1:-1] = up[:-1] | up[1:]
-    return at[keep], c[keep]
+        bins = min(max_bins, math.ceil((high - low) / precision))
+        step = (high - low) / bins
+        slot = np.minimum(((np.add.outer(row, value) - low) / step).astype(np.int64), bins - 1)
+        dense = np.bincount(slot.ravel(), np.multiply.outer(weights, mass).ravel(), bins)
+        centre = (np.arange(bins) + 0.5) * step + low
+        used = dense > 0
+        value, mass, ends = centre[used], dense[used], centre[[0, -1]]
+    below = np.cumsum(mass)
+    if not len(rows) or len(ends) == 1:
+        return value, below
+    # A jump is drawn from the end of the flat stretch before it, one bin earlier, unless that bin jumps too.
+    step = (ends[1] - ends[0]) / max(1, bins - 1)
+    before = value - step
+    fresh = np.ones(len(value), dtype=bool)
+    fresh[1:] = before[1:] - value[:-1] > step / 2
+    fresh[0] = before[0] > ends[0] - step / 2
+    x = np.concatenate([before[fresh], value, ends])
+    y = np.concatenate([np.concatenate([[0.0], below])[:-1][fresh], below, [below[0] if value[0] <= ends[0] + step / 2 else 0.0, below[-1]]])
+    order = np.unique(np.round((x - ends[0]) / step).astype(np.int64), return_index=True)[1]
+    return x[order], y[order]
 
 
 def cdf(d: tuple[np.ndarray, np.ndarray], x: float) -> float:
@@ -213,9 +223,9 @@ def p_value_to_score_exact(p: float, m: np.ndarray, bg=UNIFORM, *, limit: int =
     """The same by listing all words; only for matrices of at most ``limit`` rows."""
     if len(m) > limit:
         raise ValueError("too many words")
-    words = ["".join(w) for w in itertools.product("ACGT", repeat=len(m))]
-    s = np.array([score(m, w, bg) for w in words])
-    pb = np.array([background_probability(w, bg) for w in words])
+    s, pb = np.zeros(1), np.ones(1)
+    for row in log_odds(m, bg)[:, :4]:  # every word so far, followed by every letter
+        s, pb = np.add.outer(s, row).ravel(), np.multiply.outer(pb, np.asarray(bg)).ravel()
     order = np.argsort(-s, kind="stable")
     i = int(np.searchsorted(np.cumsum(pb[order]), p, side="right"))
     return float(s[order][min(i, len(s) - 1)])

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from helixframe.functions import sequence as sq, stats
-from helixframe.motif import pwm, scan
 from helixframe.operators import annotation as an, contacts as hc, counting as ct, intervals as iv, references as rf
 from helixframe.plans import derive as dv
-from helixframe.plans.derive import MOTIFS, SQL
+from helixframe.plans.derive import SQL
 from helixframe.runtime import materialize, read_table
 from helixframe.sources import codecs, formats, genome as gn
 
@@ -141,11 +140,24 @@ def iv_monoclonal(spark: SparkSession, d: str) -> DataFrame:
     return iv.mono_clonalize(dv.tags(spark, d), "rec_id").select("rec_id")
 
 
-@query("SELECT false AS ascending, false AS descending")
+_SORTED = "SELECT coalesce(bool_and(NOT coalesce(v < b, false)), true) AS ascending, coalesce(bool_and(NOT coalesce(v > b, false)), true) AS descending FROM (SELECT {v} AS v, lag({v}) OVER (ORDER BY {i}) AS b FROM {t})"
+
+
+@query(_SORTED.format(v="row(chrom, chrom_start, chrom_end)", i="rec_id", t="tags"), "tags")
 def w7_is_sorted(spark: SparkSession, d: str) -> DataFrame:
     return iv.is_sorted(dv.tags(spark, d), "rec_id", ["chrom", "chrom_start", "chrom_end"])
 
 
+@query(_SORTED.format(v="row(o_orderkey // 3, o_orderkey)", i="o_orderkey", t="orders"))
+def w7_is_sorted_up(spark: SparkSession, d: str) -> DataFrame:
+    return iv.is_sorted(read_table(spark, d, "orders").withColumn("k", F.floor(F.col("o_orderkey") / 3)), "o_orderkey", ["k", "o_orderkey"])
+
+
+@query(_SORTED.format(v="row(-(event_id // 7))", i="event_id", t="events"))
+def w7_is_sorted_down(spark: SparkSession, d: str) -> DataFrame:
+    return iv.is_sorted(read_table(spark, d, "events").withColumn("k", -F.floor(F.col("event_id") / 7)), "event_id", ["k"])
+
+
 # --- counting ------------------------------------------------------------------------------------
 _IN = "st.chrom = p.chrom AND st.p5 >= p.chrom_start AND st.p5 < p.chrom_end"
 
@@ -436,53 +448,6 @@ def h2_enrichment(spark: SparkSession, d: str) -> DataFrame:
     return x.select("term", "x", "m", "n", "total", F.round("fold_change", 6).alias("fold_change"), F.round("p_value", 6).alias("p_value"))
 
 
-# --- motifs --------------------------------------------------------------------------------------
-def _odds_rows() -> str:
-    rows = []
-    for m in MOTIFS:
-        for strand, mat in (("true", m.mat), ("false", pwm.reverse_complement(m.mat))):
-            t = pwm.log_odds(mat)
-            rows += [f"('{m.name}', {strand}, {j}, '{c}', {float(t[j, i])!r}::DOUBLE)" for j in range(len(mat)) for i, c in enumerate("ACGT")]
-    return ", ".join(rows)
-
-
-SQL["odds"] = f"""odds(motif, strand, j, base, s) AS (VALUES {_odds_rows()}), w AS (SELECT motif, strand, max(j) + 1 AS k FROM odds GROUP BY ALL),
- bases AS (SELECT doc_id, i, length(seq) AS n, seq[i + 1] AS base FROM (SELECT doc_id, seq, unnest(range(length(seq))) AS i FROM seqs)),
- win AS (SELECT doc_id, motif, strand, i - j AS start, sum(s) AS sc FROM bases JOIN odds USING (base) JOIN w USING (motif, strand) WHERE i >= j AND i - j + k <= n GROUP BY ALL)"""
-
-
-@query("""SELECT doc_id, motif, coalesce(count(sc), 0) AS n_windows, round(coalesce(max(sc), '-inf'::DOUBLE), 6) AS max_score, count(*) FILTER (sc >= cut) AS n_hits
-  FROM seqs CROSS JOIN (VALUES ('tata', {0!r}::DOUBLE), ('ebox', {1!r}::DOUBLE)) x(motif, cut) LEFT JOIN (SELECT * FROM win WHERE strand) USING (doc_id, motif) GROUP BY ALL""".format(*(pwm.optimal_score(m.mat) * 0.6 for m in MOTIFS)).replace("GROUP BY ALL", "GROUP BY doc_id, motif"), "seqs", "odds")
-def t12_motif_matches(spark: SparkSession, d: str) -> DataFrame:
-    x = scan.best_matches(dv.sequences(spark, d), "doc_id", "seq", MOTIFS)
-    return x.select("doc_id", "motif", "n_windows", F.round("max_score", 6).alias("max_score"), "n_hits")
-
-
-@query("SELECT doc_id, start, round(sc, 6) AS score FROM win WHERE strand AND motif = 'tata'", "seqs", "odds")
-def g6_window_scores(spark: SparkSession, d: str) -> DataFrame:
-    return scan.score_windows(dv.sequences(spark, d), "doc_id", "seq", MOTIFS[0]).select("doc_id", "start", F.round("score", 6).alias("score"))
-
-
-_CUT = {m.name: scan.cutoff_motif(m, 1e-3) for m in MOTIFS}
-
-
-@query("SELECT doc_id::VARCHAR AS chrom, start AS chrom_start, start + k AS chrom_end, motif AS name, strand FROM win JOIN w USING (motif, strand) WHERE sc >= CASE motif WHEN 'tata' THEN {0!r}::DOUBLE ELSE {1!r}::DOUBLE END".format(*(_CUT[m.name].cutoff for m in MOTIFS)), "seqs", "odds")
-def t18_scan_motif(spark: SparkSession, d: str) -> DataFrame:
-    s = dv.sequences(spark, d).select(F.col("doc_id").cast("string").alias("chrom"), F.lit(0).cast("bigint").alias("chrom_start"), "seq")
-    return scan.scan_regions(s, list(_CUT.values())).select("chrom", "chrom_start", "chrom_end", "name", "strand")
-
-
-@query()
-def t19_motif_distances(spark: SparkSession, d: str) -> DataFrame:
-    """Distances of 64 matrices made from the embeddings' labels: one per label, from the mean vectors."""
-    e = read_table(spark, d, "embeddings").where("label IS NOT NULL").select("label", F.posexplode("embedding").alias("i", "v"))
-    g = e.groupBy("label", "i").agg(F.avg(F.exp(F.col("v").cast("double"))).alias("w"))
-    g = g.withColumn("r", F.floor(F.col("i") / 4)).groupBy("label", "r").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]).alias("row"))
-    g = g.withColumn("row", F.transform("row", lambda v: v / F.aggregate("row", F.lit(0.0), lambda a, b: a + b)))
-    m = g.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "row"))), lambda x: x["row"]).alias("mat"))
-    return scan.pairwise_distances(m.select(F.concat(F.lit("m"), F.col("label")).alias("name"), "mat"))
-
-
 # --- contacts, codecs ----------------------------------------------------------------------------
 def _contacts(spark: SparkSession, d: str) -> DataFrame:
     return hc.contact_map(dv.contact_pairs(spark, d))
