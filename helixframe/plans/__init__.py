@@ -1,5 +1,5 @@
 """Catalogues of queries with their SQL counterparts."""
 
-from helixframe.plans import files, genomics, motifs, problems
+from helixframe.plans import columns, files, genomics, motifs, problems
 
-CATALOGUES = [genomics, files, motifs, problems]
+CATALOGUES = [genomics, columns, files, motifs, problems]
