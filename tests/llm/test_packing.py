@@ -44,10 +44,10 @@ def test_recipes_use_everything_once():
     assert packing.recipes({}, 5) == [] and packing.recipes({5: 3}, 5) == [(3, {5: 1})]
 
 
-@pytest.mark.parametrize("broadcast", [0, 200_000])
+@pytest.mark.parametrize("broadcast", ["-1", "10MB"])
 def test_pack(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(packing, "BROADCAST_CAPACITY", broadcast)
-    monkeypatch.setattr(packing, "BUCKETS", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 60)
     rng = random.Random(3)
     sizes = [7] * 300 + [rng.choice([0, None, 1, 50, 64, 65, 128, 1000, rng.randrange(200)]) for _ in range(300)]
     df = spark.createDataFrame([(i % 550, s, "x") for i, s in enumerate(sizes)], "doc_id bigint, n_tokens bigint, box_name string").repartition(5)
@@ -76,6 +76,26 @@ def test_pack(spark, monkeypatch, broadcast):
         packing.pack(df, [("a", 0)])
 
 
+def test_shards_side_by_side(spark, monkeypatch):
+    """A dense histogram dealt to shards: everything is placed once, and hardly any room is lost."""
+    monkeypatch.setattr(packing, "SHARD_LENGTHS", 512)
+    rng = random.Random(5)
+    hist = {x: rng.randrange(1, 400) for x in range(1, 2049) if rng.random() < 0.9}
+    df = spark.createDataFrame([("b", x, n, 2048) for x, n in hist.items()], "box_name string, len bigint, n bigint, capacity bigint")
+    plan = packing.plan_boxes(df, [("b", 2048)]).collect()
+    fill, spans = {}, {}
+    for r in plan:
+        spans.setdefault(r.len, []).append((r.lo, r.hi))
+        for i in range(r.lo, r.hi):
+            box = r.base + (i - r.lo) // r.per_box
+            fill[box] = fill.get(box, 0) + r.len
+    for x, v in spans.items():
+        v.sort()
+        assert v[0][0] == 0 and v[-1][1] == hist[x] and all(a[1] == b[0] for a, b in zip(v, v[1:]))
+    assert set(spans) == set(hist) and max(fill.values()) <= 2048 and sorted(fill) == list(range(len(fill)))
+    assert len(fill) <= 1.02 * sum(x * n for x, n in hist.items()) / 2048
+
+
 def test_token_counts(spark):
     texts = ["", None, "hello world", "<|endoftext|>", " " * 30_000, "a" * 50_000, "é日本 \U0001f600"]
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id bigint, text string, n_tokens int")

@@ -18,7 +18,7 @@ def test_query(spark, name):
     assert got
     if name in queries.ORACLE:
         con = duckdb.connect()
-        for t in ("narrowpeak", "documents"):
+        for t in ("narrowpeak", "documents", "mix_targets", "pack_capacity"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
         cur = con.execute(queries.ORACLE[name])
         assert [c[0] for c in cur.description] == df.columns and sorted(cur.fetchall(), key=repr) == got
