@@ -14,19 +14,25 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: A key is heavy, for the choice of the plan, from this share of all rows on.
 HEAVY_SHARE = 1 / 256
+#: Items the engine's sketch can track; shares that need more are counted exactly.
+SKETCH_ITEMS = 1_000_000
 
 
 def heavy_keys(df: DataFrame, key: Column, min_share: float = HEAVY_SHARE) -> DataFrame:
     """Candidates for the values of ``key`` that hold at least ``min_share`` of the non-null rows.
 
     One column ``hk``; a superset of the heavy values, at most ``2 / min_share + 1`` rows, lazily
-    evaluated. NULL keys are left out. An empty input gives no row.
+    evaluated. NULL keys are left out. An empty input gives no row. Below a share of ``16 / SKETCH_ITEMS``
+    the sketch would be too narrow to miss no key, so keys are counted exactly there.
     """
     if not 0 < min_share <= 1:
         raise ValueError("min_share must lie in (0, 1]")
     k = math.ceil(2 / min_share) + 1
-    track = max(64, min(1_000_000, math.ceil(16 / min_share)))
+    track = max(64, math.ceil(16 / min_share))
     rows = df.select(key.alias("hk")).where(F.col("hk").isNotNull())
+    if track > SKETCH_ITEMS:
+        total = rows.agg(F.count(F.lit(1)).alias("t")).scalar()
+        return rows.groupBy("hk").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= total * F.lit(float(min_share))).select("hk")
     top = rows.agg(F.expr(f"approx_top_k(hk, {k}, {track})").alias("top"))
     return top.select(F.explode("top").alias("x")).select(F.col("x.item").alias("hk"))
 

@@ -105,3 +105,10 @@ def test_explode_packed(spark):
     got = sorted(map(tuple, packed.explode_packed(df, "id", ["f", "g"], min_values=2).collect()), key=repr)
     assert got == sorted([(1, "f", 1, "a"), (1, "f", 2, "b"), (None, "g", 1, "p"), (None, "g", 2, "q")], key=repr)
     assert packed.explode_packed(df.limit(0), "id", ["f"]).count() == 0
+
+
+def test_shares_too_small_for_the_sketch(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("CASE WHEN id < 40 THEN 0 WHEN id < 60 THEN 1 ELSE id END AS k")
+    monkeypatch.setattr(skew, "SKETCH_ITEMS", 100)
+    assert {r.hk for r in skew.heavy_keys(df, F.col("k"), 0.005).collect()} == {0, 1}
+    assert {r.k for r in skew.dominant_keys(df, "k", 1, 100).collect()} == {0}
