@@ -4,8 +4,8 @@ The aggregate is a sorted list of disjoint intervals per group. It is mergeable,
 tree has three levels: lists are built over chunks of rows before the shuffle; the lists of a group
 (of a slab of coordinates, for groups that hold much of the table) meet in one task, sorted by start,
 and are merged in one linear streaming pass; slabs of a group are then joined at their borders, of
-which there is a bounded number. No group is ever held in memory, and a group with a third of all
-rows is cut into slabs at its own quantiles.
+which there are two a slab. No group is ever held in memory, and a group with a third of all rows is
+cut into slabs at its own (sampled) quantiles, as many as its rows ask for.
 """
 
 from __future__ import annotations
@@ -17,15 +17,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from helixframe.operators.skew import heavy_hashes
+from helixframe.operators.skew import heavy_groups
 from helixframe.runtime import materialize
 
 #: Rows of one leaf list.
 LEAF_ROWS = 200_000
 #: Groups above this share of the rows are cut into slabs.
 SLAB_SHARE = 1 / 256
-#: Quantiles kept for a group that is cut, so the number of its slabs at most.
-GRID = 256
+#: Rows of a slab at most, about; so the slabs grow with the rows.
+SLAB_ROWS = 20_000_000
+#: Starts that are sampled for each slab to find the cuts.
+SAMPLED = 64
 
 
 def _starts_of_groups(t: pa.Table, keys: list[str]) -> np.ndarray:
@@ -55,7 +57,19 @@ def _merge_sorted(new: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.nda
     return at, run[np.append(at[1:], n) - 1]
 
 
-def _leaf(keys: list[str], schema: pa.Schema):
+def _cut(s: np.ndarray, e: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals cut at the borders of slabs: index of the interval, slab, start, end of each piece."""
+    lo, hi = np.searchsorted(cuts, s, "right"), np.searchsorted(cuts, e - 1, "right")
+    n = hi - lo + 1
+    i = np.repeat(np.arange(len(s)), n)
+    slab = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + lo[i]
+    edge = np.append(cuts, 0)
+    return i, slab, np.where(slab > lo[i], edge[slab - 1], s[i]), np.where(slab < hi[i], edge[slab], e[i])
+
+
+def _leaf(keys: list[str], schema: pa.Schema, cuts: dict[int, np.ndarray]):
+    """Lists of disjoint intervals over chunks of rows; those of heavy groups (by hash ``h``) are cut into slabs."""
+
     def merge(t: pa.Table) -> pa.RecordBatch:
         codes = [c.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) for c in (t.column(k) for k in keys)]
         s = t.column("s").to_numpy()
@@ -67,8 +81,21 @@ def _leaf(keys: list[str], schema: pa.Schema):
             new[1:] |= c[1:] != c[:-1]
         s, e = s[order], t.column("e").to_numpy()[order]
         at, end = _merge_sorted(new, s, e)
-        out = t.select(keys).take(pa.array(order[at]))
-        return pa.Table.from_arrays([*out.columns, pa.array(s[at]), pa.array(end)], schema=schema).combine_chunks()
+        row, start, slab = order[at], s[at], np.full(len(at), -1)
+        if cuts:
+            h = t.column("h").to_numpy()[row]
+            groups = np.flatnonzero(new[at])
+            hot = [(a, z) for a, z in zip(groups, np.append(groups[1:], len(at)), strict=True) if int(h[a]) in cuts]
+            if hot:
+                plain = np.ones(len(at), dtype=bool)
+                parts = []
+                for a, z in hot:
+                    plain[a:z] = False
+                    i, sl, x, y = _cut(start[a:z], end[a:z], cuts[int(h[a])])
+                    parts.append((row[a:z][i], sl, x, y))
+                row, slab, start, end = (np.concatenate(c) for c in zip((row[plain], slab[plain], start[plain], end[plain]), *parts, strict=True))
+        out = t.select(keys).take(pa.array(row))
+        return pa.Table.from_arrays([*out.columns, pa.array(slab, pa.int32()), pa.array(start), pa.array(end)], schema=schema).combine_chunks()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -130,27 +157,25 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, *, wi
 
     Returns ``keys..., span_kind ('period'|'gap'), span_start, span_end``. Intervals that overlap or
     touch make one period. Rows with NULL borders or ``end <= start`` do not take part; NULL keys are
-    groups like others; repeated rows change nothing; an empty table gives no row. The borders of
-    groups above ``slab_share`` of the rows are found first with a sketch and per-group quantiles
-    (at most ``2 / slab_share + 1`` groups of ``GRID`` numbers are broadcast).
+    groups like others; repeated rows change nothing; an empty table gives no row. Groups above
+    ``slab_share`` of the rows are found first with a sketch, and their cuts from a sample of ``SAMPLED``
+    starts a slab; a slab has ``slab_share`` of the rows or ``SLAB_ROWS``, whichever is less, so one
+    number for each so many rows reaches the driver. The cuts change no row of the result.
     """
     names = [f"k{i}" for i in range(len(keys))]
     base = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(start).cast("bigint").alias("s"), F.col(end).cast("bigint").alias("e")).where("e > s")
-    spark = df.sparkSession
-    hot = heavy_hashes(base, names, slab_share)
     kfields = [base.schema[n] for n in names]
+    base = base.withColumn("h", F.xxhash64(*names))
+    total, hot = heavy_groups(base, names, slab_share)
+    cuts = _cuts(base, hot, max(1, min(int(total * slab_share), SLAB_ROWS))) if hot else {}
     sch = lambda *fs: T.StructType([*kfields, *[T.StructField(n, t) for n, t in fs]])
     to_arrow = lambda s: pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in s])
-    leaf = sch(("s", T.LongType()), ("e", T.LongType()))
-    lists = base.mapInArrow(_leaf(names, to_arrow(leaf)), leaf)
-    if hot:
-        lists = _slabs(spark, base, lists, names, hot, slab_share)
-    else:
-        lists = lists.withColumn("slab", F.lit(-1))
+    leaf = sch(("slab", T.IntegerType()), ("s", T.LongType()), ("e", T.LongType()))
+    lists = base.mapInArrow(_leaf(names, to_arrow(leaf), cuts), leaf)
     out = sch(("slab", T.IntegerType()), ("span_kind", T.StringType()), ("span_start", T.LongType()), ("span_end", T.LongType()), ("edge", T.IntegerType()))
     order = [*names, "slab", "s"]
     merged = lists.select(*names, "slab", "s", "e").repartition(*names, "slab").sortWithinPartitions(*order).mapInArrow(_linear_merge(names, to_arrow(out), with_gaps), out)
-    if hot:
+    if cuts:
         merged = _join_slabs(materialize(merged, "periods"), names, with_gaps)
     return merged.select(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], "span_kind", "span_start", "span_end")
 
@@ -161,21 +186,13 @@ def _arrow(t: T.DataType) -> pa.DataType:
     return to_arrow_type(t)
 
 
-def _slabs(spark, base: DataFrame, lists: DataFrame, names: list[str], hot: list[int], share: float) -> DataFrame:
-    """Cut the intervals of heavy groups at quantiles of their starts; pieces touch at the cuts."""
-    h = F.xxhash64(*names)
-    grid = [i / GRID for i in range(1, GRID)]
-    q = base.where(h.isin(hot)).groupBy(h.alias("h")).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("s", grid, F.lit(2000)).alias("q"))
-    total = base.agg(F.count(F.lit(1)).alias("t")).scalar()
-    # As many slabs as the group is times larger than the share, at most GRID.
-    q = q.withColumn("step", F.greatest(F.lit(1), F.floor(F.lit(GRID * share) * total / F.col("n"))).cast("int"))
-    cuts = F.broadcast(q.select("h", F.array_distinct(F.filter("q", lambda x, i: (i + 1) % F.col("step") == 0)).alias("cuts")))
-    x = lists.withColumn("h0", h).join(cuts, F.col("h0") == F.col("h"), "left")
-    slab_of = lambda v: F.size(F.filter("cuts", lambda c: c <= v))
-    slabs = F.when(F.col("cuts").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(slab_of(F.col("s")), slab_of(F.col("e") - 1)))
-    x = x.withColumn("slab", F.explode(slabs))
-    lo, hi = F.get("cuts", F.col("slab") - 1), F.get("cuts", F.col("slab"))
-    return x.select(*names, "slab", F.when(F.col("slab") > 0, F.greatest("s", lo)).otherwise(F.col("s")).alias("s"), F.when(F.col("slab") >= 0, F.least(F.col("e"), hi)).otherwise(F.col("e")).alias("e"))
+def _cuts(base: DataFrame, hot: list[int], rows: int) -> dict[int, np.ndarray]:
+    """Where to cut the heavy groups (by hash), so that a slab starts about every ``rows`` intervals."""
+    share = min(1.0, SAMPLED / rows)
+    every = max(1, round(rows * share))
+    q = base.where(F.col("h").isin(hot)).sample(share, seed=1).groupBy("h").agg(F.sort_array(F.collect_list("s")).alias("v"))
+    q = q.select("h", F.array_distinct(F.filter("v", lambda x, i: (i + 1) % every == 0)).alias("cuts"))
+    return {r[0]: np.array(r[1], dtype=np.int64) for r in q.collect() if r[1]}
 
 
 def _join_slabs(m: DataFrame, names: list[str], with_gaps: bool) -> DataFrame:

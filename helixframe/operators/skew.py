@@ -12,6 +12,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from helixframe.runtime import materialize
+
 #: A key is heavy, for the choice of the plan, from this share of all rows on.
 HEAVY_SHARE = 1 / 256
 #: Items the engine's sketch can track; shares that need more are counted exactly.
@@ -37,13 +39,17 @@ def heavy_keys(df: DataFrame, key: Column, min_share: float = HEAVY_SHARE) -> Da
     return top.select(F.explode("top").alias("x")).select(F.col("x.item").alias("hk"))
 
 
-def heavy_hashes(df: DataFrame, cols: list[str], min_share: float = HEAVY_SHARE) -> list[int]:
-    """64-bit hashes of the heavy groups over ``cols``, brought to the driver.
+def heavy_groups(df: DataFrame, cols: list[str], min_share: float = HEAVY_SHARE) -> tuple[int, list[int]]:
+    """The number of rows, and 64-bit hashes of the heavy groups over ``cols``, in one pass, brought to the driver.
 
     Bounded by ``2 / min_share + 1`` numbers. Groups with clashing hashes are treated alike, which
     only widens the salted part of a plan and never changes a result.
     """
-    return [r[0] for r in heavy_keys(df, F.xxhash64(*cols), min_share).collect()]
+    k, track = math.ceil(2 / min_share) + 1, max(64, math.ceil(16 / min_share))
+    if track > SKETCH_ITEMS:
+        return df.count(), [r[0] for r in heavy_keys(df, F.xxhash64(*cols), min_share).collect()]
+    r = df.select(F.xxhash64(*cols).alias("h")).agg(F.count(F.lit(1)), F.expr(f"approx_top_k(h, {k}, {track})")).first()
+    return r[0], [x["item"] for x in r[1] or []]
 
 
 def aggregate_by_key(df: DataFrame, key: str, aggs: dict[str, tuple[Column, Column]], *, salts: int = 64, min_share: float = HEAVY_SHARE) -> DataFrame:
@@ -57,9 +63,9 @@ def aggregate_by_key(df: DataFrame, key: str, aggs: dict[str, tuple[Column, Colu
     that made the row. An empty input gives no row.
     """
     heavy = F.broadcast(heavy_keys(df, F.col(key), min_share).withColumnRenamed("hk", "__hf_hk"))
-    flagged = df.withColumn("__hf_null", F.col(key).isNull())
-    mine = flagged.join(heavy, F.col(key) == F.col("__hf_hk"), "left_semi").unionByName(flagged.where("__hf_null"))
-    rest = flagged.where(~F.col("__hf_null")).join(heavy, F.col(key) == F.col("__hf_hk"), "left_anti")
+    flagged = df.join(heavy, F.col(key) == F.col("__hf_hk"), "left")
+    mine = flagged.where(F.col("__hf_hk").isNotNull() | F.col(key).isNull())
+    rest = df.where(F.col(key).isNotNull()).join(heavy, F.col(key) == F.col("__hf_hk"), "left_anti")
     k = F.col(key).alias("__hf_key")
     salted = mine.withColumn("__hf_salt", F.spark_partition_id() % salts)  # one partial row per task and key
     part = salted.groupBy(k, "__hf_salt").agg(*[p.alias(n) for n, (p, _) in aggs.items()])
@@ -77,8 +83,8 @@ def dominant_keys(df: DataFrame, key: str, share_num: int, share_den: int) -> Da
     which counts rows with NULL keys too. NULL itself is never returned.
     """
     min_share = share_num / share_den / 2
-    n = aggregate_by_key(df.select(key), key, {"n": (F.count(F.lit(1)), F.sum("n"))}, min_share=min_share)
-    total = df.agg(F.count(F.lit(1)).alias("t")).scalar()
+    n = materialize(aggregate_by_key(df.select(key), key, {"n": (F.count(F.lit(1)), F.sum("n"))}, min_share=min_share), "counts")
+    total = n.agg(F.sum("n").alias("t")).scalar()
     return n.where(F.col(key).isNotNull() & (F.col("n") * share_den >= total * share_num)).select(key)
 
 
