@@ -20,12 +20,12 @@ HEAVY_SHARE = 1 / 256
 SKETCH_ITEMS = 1_000_000
 
 
-def heavy_keys(df: DataFrame, key: Column, min_share: float = HEAVY_SHARE) -> DataFrame:
-    """Candidates for the values of ``key`` that hold at least ``min_share`` of the non-null rows.
+def heavy_shares(df: DataFrame, key: Column, min_share: float = HEAVY_SHARE) -> DataFrame:
+    """Candidates for the values of ``key`` that hold at least ``min_share`` of the non-null rows: ``hk, share``.
 
-    One column ``hk``; a superset of the heavy values, at most ``2 / min_share + 1`` rows, lazily
-    evaluated. NULL keys are left out. An empty input gives no row. Below a share of ``16 / SKETCH_ITEMS``
-    the sketch would be too narrow to miss no key, so keys are counted exactly there.
+    A superset of the heavy values, at most ``2 / min_share + 1`` rows, lazily evaluated in one pass; the
+    share is the sketch's estimate. NULL keys are left out. An empty input gives no row. Below a share of
+    ``16 / SKETCH_ITEMS`` the sketch would be too narrow to miss no key, so keys are counted exactly there.
     """
     if not 0 < min_share <= 1:
         raise ValueError("min_share must lie in (0, 1]")
@@ -34,9 +34,15 @@ def heavy_keys(df: DataFrame, key: Column, min_share: float = HEAVY_SHARE) -> Da
     rows = df.select(key.alias("hk")).where(F.col("hk").isNotNull())
     if track > SKETCH_ITEMS:
         total = rows.agg(F.count(F.lit(1)).alias("t")).scalar()
-        return rows.groupBy("hk").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= total * F.lit(float(min_share))).select("hk")
-    top = rows.agg(F.expr(f"approx_top_k(hk, {k}, {track})").alias("top"))
-    return top.select(F.explode("top").alias("x")).select(F.col("x.item").alias("hk"))
+        share = F.col("n").cast("double") / total
+        return rows.groupBy("hk").agg(F.count(F.lit(1)).alias("n")).select("hk", share.alias("share")).where(F.col("share") >= min_share)
+    top = rows.agg(F.count(F.lit(1)).alias("t"), F.expr(f"approx_top_k(hk, {k}, {track})").alias("top"))
+    return top.select("t", F.explode("top").alias("x")).select(F.col("x.item").alias("hk"), (F.col("x.count") / F.col("t")).alias("share"))
+
+
+def heavy_keys(df: DataFrame, key: Column, min_share: float = HEAVY_SHARE) -> DataFrame:
+    """The candidates of :func:`heavy_shares` alone: ``hk``."""
+    return heavy_shares(df, key, min_share).select("hk")
 
 
 def heavy_groups(df: DataFrame, cols: list[str], min_share: float = HEAVY_SHARE) -> tuple[int, list[int]]:
