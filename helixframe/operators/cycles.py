@@ -19,7 +19,7 @@ every four layers.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from helixframe.runtime import Table, materialize
 
@@ -28,6 +28,11 @@ _ROWS = "count(1)"
 PLAIN_ROUNDS = 20
 
 
+def _to(x: Column, at: Column, on: Column) -> tuple[Column, str]:
+    """Left join of the rows with ``x``; those without match nothing, but are spread by their own id and not gathered as NULLs."""
+    return (F.coalesce(x, F.col("v")) == at) & (x.isNotNull() == on), "left"
+
+
 class Jumps:
     """Pointer jumping over terms with one parent.
 
@@ -50,9 +55,9 @@ class Jumps:
             now = self.steps[-1]
             j = now.df
             for i in range(3):
-                z = now.df.select(*[F.col(c).alias(f"z{c}{i}") for c in ("v", "x", "top", "lo", *extra)])
+                z = now.df.select(*[F.col(c).alias(f"z{c}{i}") for c in ("v", "x", "top", "lo", *extra)], F.lit(True).alias(f"zon{i}"))
                 more = [(F.col("w") + F.coalesce(f"zw{i}", F.lit(0))).alias("w"), F.greatest("b", F.col("w") + F.col(f"zb{i}")).alias("b")] if weighted else []
-                j = j.join(z, F.col("x") == F.col(f"zv{i}"), "left").select("v", F.col(f"zx{i}").alias("x"), F.coalesce("top", f"ztop{i}").alias("top"), F.least("lo", f"zlo{i}").alias("lo"), *more)
+                j = j.join(z, *_to(F.col("x"), F.col(f"zv{i}"), F.col(f"zon{i}"))).select("v", F.col(f"zx{i}").alias("x"), F.coalesce("top", f"ztop{i}").alias("top"), F.least("lo", f"zlo{i}").alias("lo"), *more)
             self.steps.append(Table(j, "jump", n=_ROWS, left=pending))
             seen = self.steps[-1].seen
             reach *= 4

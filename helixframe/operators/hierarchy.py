@@ -64,7 +64,8 @@ def _tours(tree: DataFrame, trace: list | None) -> tuple[DataFrame, bool]:
         x = r.df
         for i in range(3):  # three hops a round: every arc then sees four times as far
             y = r.df.select(*[F.col(c).alias(f"y{c}{i}") for c in r.df.columns])
-            j = x.join(y, (F.col("xv") == F.col(f"yv{i}")) & (F.col("xd") == F.col(f"yd{i}")), "left")
+            # Arcs that are ranked match no side (2) and are spread by their own node, not gathered as NULLs.
+            j = x.join(y, (F.coalesce("xv", "v") == F.col(f"yv{i}")) & (F.coalesce("xd", F.lit(2)) == F.col(f"yd{i}")), "left")
             hop = F.col(f"yv{i}").isNotNull()
             x = j.select("v", "d", F.when(hop, F.col(f"yxv{i}")).alias("xv"), F.when(hop, F.col(f"yxd{i}")).alias("xd"), F.coalesce("tail", f"ytail{i}").alias("tail"),
                          (F.col("dn") + F.coalesce(f"ydn{i}", F.lit(0))).alias("dn"), (F.col("un") + F.coalesce(f"yun{i}", F.lit(0))).alias("un"))
