@@ -99,6 +99,7 @@ class Words:
     """The words of some texts as ids, laid end to end."""
 
     def __init__(self, texts: list[str | None]):
+        self.texts = texts
         self.low = [(t or "").lower() for t in texts]
         words = [_WORD.findall(t) for t in self.low]
         self.n = len(texts)
@@ -111,18 +112,20 @@ class Words:
         """Sizes, and the measures the rules vote on."""
         share = lambda a: np.divide(a, self.counts, out=np.zeros(self.n), where=self.counts > 0)
         out = {"n_words": self.counts}
-        cur = self.ids
+        base = int(self.ids.max()) + 1 if len(self.ids) else 1
+        key, doc = self.doc * base + self.ids, self.doc
         for width, name in ((1, "word_again"), (2, "pair_again"), (3, "triple_again")):
-            m = len(self.ids) - width + 1
-            if width > 1 and m > 0:
-                cur = _join_ids(cur[:m], self.ids[width - 1 :])
-            again = np.zeros(self.n, dtype=np.int64)
-            if m > 0:
-                at = np.flatnonzero(self.doc[:m] == self.doc[width - 1 :])
-                key = self.doc[at] * (int(cur.max()) + 1) + cur[at]
-                u = np.unique(key) // (int(cur.max()) + 1)
-                again = np.bincount(self.doc[at], minlength=self.n) - np.bincount(u, minlength=self.n)
-            out[name] = share(again)
+            if width > 1:  # ids of shorter runs hold their document; a run ends with a word of the same one
+                m = max(0, len(self.ids) - width + 1)
+                inside = self.doc[:m] == self.doc[width - 1 :] if m else np.zeros(0, dtype=bool)
+                key, doc = (run[:m] * base + self.ids[width - 1 :])[inside] if m else run[:0], self.doc[:m][inside]
+            if width < 3:
+                _, first, back = np.unique(key, return_index=True, return_inverse=True)
+                run = np.zeros(len(self.ids), dtype=np.int64)
+                run[np.flatnonzero(inside) if width > 1 else slice(None)] = back
+            else:
+                first = np.unique(key, return_index=True)[1]
+            out[name] = share(np.bincount(doc, minlength=self.n) - np.bincount(doc[first], minlength=self.n))
         for what, parts in (("sentence", (_SENTENCE.split(t) for t in self.low)), ("paragraph", (t.split("\n") for t in self.low))):
             seen = [_seen_share(p) for p in parts]
             out[f"n_{what}s"] = np.array([s[0] for s in seen], dtype=np.int64)
@@ -253,24 +256,47 @@ def repetition(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return m.withColumn("repeated_share", F.coalesce(F.try_divide("n_repeated", "n_words"), F.lit(0.0))).withColumn("p_repetitive", posterior(F.col("votes"), post)).withColumnRenamed("k", key)
 
 
+def _suspect(pattern: str) -> bool:
+    """Whether a rule other than that on single words votes repetitive."""
+    return "1" in pattern[1:]
+
+
 def likely_repetitive(df: DataFrame, key: str = "doc_id", text: str = "text", *, at_least: float = POSTERIOR) -> DataFrame:
     """The documents whose posterior is at least ``at_least``, measured: ``key, n_words, n_repeated, p_repetitive``.
 
-    All documents vote and enter the fit; the texts are read a second time, and only those with such a
-    posterior pay for the exact measure. Rules that say clean can outweigh the others, so a document is
-    measured or left out by the model alone; :func:`repetition` measures all.
+    All documents vote and enter the fit, and only those with such a posterior pay for the exact measure.
+    Rules that say clean can outweigh the others, so a document is measured or left out by the model
+    alone; :func:`repetition` measures all. Texts that some rule finds repetitive are written beside
+    their votes; should the model name a pattern without any such vote, all texts are read again.
     """
-    post, _ = _fitted(rule_votes(df, key, text))
     x, k = _keyed(df, key, text)
 
-    def run(batches):
+    def vote(batches):
         for key_, w in _chunks(batches):
-            p = np.array([post.get(v, 0.0) for v in votes(w.rule_measures())])
-            take = p >= at_least
-            at = np.flatnonzero(take)
-            yield _batch(key_.take(pa.array(at)), {"n_words": w.counts[at], "n_repeated": w.repeated(take)[at].astype(np.int64), "p_repetitive": p[at]})
+            v = votes(w.rule_measures())
+            yield _batch(key_, {"votes": pa.array(v, pa.string()), "t": pa.array([t if _suspect(p) else None for p, t in zip(v, w.texts, strict=True)], pa.string())})
 
-    return x.mapInArrow(run, f"{k}, n_words bigint, n_repeated bigint, p_repetitive double").withColumnRenamed("k", key)
+    voted = materialize(x.mapInArrow(vote, f"{k}, votes string, t string"), "votes")
+    post, _ = _fitted(voted)
+    named = {p: q for p, q in post.items() if q >= at_least}
+
+    def measure(batches):
+        for both, w in _chunks(batches):
+            yield _batch(both.field("k"), {"n_words": w.counts, "n_repeated": w.repeated().astype(np.int64), "votes": both.field("votes")})
+
+    def measure_again(batches):
+        for key_, w in _chunks(batches):
+            v = votes(w.rule_measures())
+            take = np.array([p in named for p in v], dtype=bool)
+            at = np.flatnonzero(take)
+            yield _batch(key_.take(pa.array(at)), {"n_words": w.counts[at], "n_repeated": w.repeated(take)[at].astype(np.int64), "votes": pa.array([v[i] for i in at], pa.string())})
+
+    if all(map(_suspect, named)):
+        few = voted.where(F.col("votes").isin(list(named) or [""]))
+        done = few.select(F.struct("k", "votes").alias("k"), "t").mapInArrow(measure, f"{k}, n_words bigint, n_repeated bigint, votes string")
+    else:
+        done = x.mapInArrow(measure_again, f"{k}, n_words bigint, n_repeated bigint, votes string")
+    return done.withColumn("p_repetitive", posterior(F.col("votes"), post)).drop("votes").withColumnRenamed("k", key)
 
 
 def quality(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

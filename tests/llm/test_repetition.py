@@ -133,6 +133,9 @@ def test_model_names_what_is_measured(spark, monkeypatch):
     assert kept == set(range(len(ts))) - {r.doc_id for r in x}
     every = {r.doc_id: (r.n_words, r.n_repeated) for r in rp.repetition(df).collect()}
     assert every == {i: brute(t or "") for i, t in enumerate(ts)}
+    monkeypatch.setattr(rp, "_suspect", lambda p: False)  # no text is kept: all are read again
+    assert sorted(map(tuple, rp.likely_repetitive(df).collect())) == sorted(map(tuple, x))
+    monkeypatch.undo()
     rules = {r.rule: r for r in rp.rule_report(df).collect()}
     assert rules["triples"].accuracy > 0.9 and set(rules) == set(rp.RULES)
     for f in (rp.likely_repetitive, rp.repetition, rp.quality, rp.rule_report):
