@@ -18,6 +18,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -104,8 +105,9 @@ class Words:
         words = [_WORD.findall(t) for t in self.low]
         self.n = len(texts)
         self.counts = np.array([len(w) for w in words], dtype=np.int64)
-        vocab: dict[str, int] = {}
-        self.ids = np.fromiter((vocab.setdefault(x, len(vocab)) for w in words for x in w), dtype=np.int64, count=int(self.counts.sum()))
+        flat = np.empty(int(self.counts.sum()), dtype=object)
+        flat[:] = [x for w in words for x in w]
+        self.ids = pd.factorize(flat)[0].astype(np.int64)
         self.doc = np.repeat(np.arange(self.n), self.counts)
 
     def rule_measures(self) -> dict[str, np.ndarray]:
