@@ -254,16 +254,17 @@ def _spread(d: DataFrame) -> DataFrame:
     return d.withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
 
-def hierarchy(terms: DataFrame, links: DataFrame, *, block: int = BLOCK, trace: list | None = None) -> DataFrame:
+def hierarchy(terms: DataFrame, links: DataFrame, *, block: int = BLOCK, tours: Forest | None = None, trace: list | None = None) -> DataFrame:
     """Every path from a root to a term: ``id, node_state, root_id, lvl, full_path``.
 
     ``terms`` has a column ``id`` (repeats and NULLs are ignored), ``links`` the columns ``child,
     parent``; links with a NULL or an end that is no term are ignored, repeats count once. State
     ``tree``: one row per distinct path through terms off all cycles; ``on_cycle`` and
     ``below_cycle`` (no such path): one row with root and level -1 and an empty path. Empty inputs
-    give no rows; without links every term is a root.
+    give no rows; without links every term is a root. ``tours``: the :func:`forest` of the same tables, if
+    it has been built.
     """
-    f = forest(terms, links, block=block, trace=trace)
+    f = tours or forest(terms, links, block=block, trace=trace)
     cyc = _on_cycles(f)
     heads = f.open_heads()
     paths = materialize(f.swept(f.rows(heads), _sweep, "head bigint, block bigint, v bigint, depth bigint, rel string"), "paths")
@@ -306,13 +307,13 @@ def _heads_below(f: Forest) -> tuple[DataFrame, DataFrame]:
     return led, materialize(first.select("v", F.col("tag").alias("m")).union(far).distinct(), "heads_below")
 
 
-def descendants(terms: DataFrame, links: DataFrame, *, block: int = BLOCK) -> DataFrame:
+def descendants(terms: DataFrame, links: DataFrame, *, block: int = BLOCK, tours: Forest | None = None) -> DataFrame:
     """Distinct pairs ``(ancestor, id)`` over the terms that :func:`hierarchy` puts into a ``tree`` (a term is not its own).
 
     Terms inside the entry-exit interval of the ancestor, the heads below it, and the fragments of those.
     Each pair comes from one of the three, so only pairs with heads are made distinct.
     """
-    f = forest(terms, links, block=block)
+    f = tours or forest(terms, links, block=block)
     led, below = _heads_below(f)
     rows = f.rows(led).select("head", "block", "v", "ud", "sd", "own")
     inside = f.swept(rows, _sweep_within, "v bigint, tag bigint").select(F.col("v").alias("ancestor"), F.col("tag").alias("id"))
@@ -320,9 +321,9 @@ def descendants(terms: DataFrame, links: DataFrame, *, block: int = BLOCK) -> Da
     return inside.union(below.select(F.col("v").alias("ancestor"), F.col("m").alias("id"))).union(whole)
 
 
-def descendant_counts(terms: DataFrame, links: DataFrame, *, block: int = BLOCK) -> DataFrame:
+def descendant_counts(terms: DataFrame, links: DataFrame, *, block: int = BLOCK, tours: Forest | None = None) -> DataFrame:
     """``id, n_descendants`` of the terms that have any, without making the pairs: lengths of intervals, and sizes of the fragments below."""
-    f = forest(terms, links, block=block)
+    f = tours or forest(terms, links, block=block)
     led, below = _heads_below(f)
     own = led.select(F.col("v").alias("id"), "n").union(f.ranked.join(led.select(F.col("v").alias("lv")), F.col("head") == F.col("lv"), "left_semi").select("v", F.col("sd") - F.col("ud") - 1))
     more = below.join(f.heads.select(F.col("v").alias("hv"), "n"), F.col("m") == F.col("hv")).select(F.col("v").alias("id"), F.col("n") + 1)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.operators.cycles import components, cycle_terms
-from helixframe.operators.hierarchy import descendant_counts, descendants, hierarchy, rank_tours
+from helixframe.operators.hierarchy import descendant_counts, descendants, forest, hierarchy, rank_tours
 
 
 def brute(terms, links):
@@ -62,29 +62,31 @@ def run(spark, terms, links, **kw):
 @pytest.mark.parametrize("block", [50_000, 3])
 def test_random_graphs(spark, block):
     terms, links = graph(70, 4)
-    got = sorted(map(tuple, run(spark, terms, links, block=block).collect()))
+    f = forest(*tables(spark, terms, links), block=block)
+    got = sorted(map(tuple, hierarchy(None, None, tours=f).collect()))
     assert got == brute(terms, links)
-    below(spark, terms, links, got, block)
+    below(f, got)
 
 
-def below(spark, terms, links, rows, block):
+def below(f, rows):
     """Descendants and their counts, against the paths."""
     want = {(int(a), r[0]) for r in rows for a in r[4].split("/")[:-1] if a}
-    got = [tuple(r) for r in descendants(*tables(spark, terms, links), block=block).collect()]
+    got = [tuple(r) for r in descendants(None, None, tours=f).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     n = {}
     for a, _ in want:
         n[a] = n.get(a, 0) + 1
-    assert {r[0]: r[1] for r in descendant_counts(*tables(spark, terms, links), block=block).collect()} == n
+    assert {r[0]: r[1] for r in descendant_counts(None, None, tours=f).collect()} == n
 
 
 def test_chain_star_and_no_links(spark):
     n = 60
     terms = list(range(2 * n))
     links = [(i, i - 1) for i in range(1, n)] + [(i, 3) for i in range(n, 2 * n)]
-    rows = sorted(map(tuple, run(spark, terms, links, block=5).collect()))
+    f = forest(*tables(spark, terms, links), block=5)
+    rows = sorted(map(tuple, hierarchy(None, None, tours=f).collect()))
     assert rows == brute(terms, links)
-    below(spark, terms, links, rows, 5)
+    below(f, rows)
     assert sorted(map(tuple, run(spark, [1, 2], []).collect())) == brute([1, 2], [])
     assert run(spark, [], []).count() == 0
     assert descendants(*tables(spark, [], [])).count() == 0
@@ -107,7 +109,7 @@ def strong(links):
     return {frozenset({v} | {w for w in reach[v] if v in reach[w]}) for v in reach if v in reach[v]}
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     """Rings, trees into rings, dense cores, and rings joined by chains."""
     rng = random.Random(seed)
@@ -140,6 +142,8 @@ def test_rounds_grow_with_the_logarithm(spark):
     trace = []
     assert cycle_terms(chain, trace).count() == 0
     assert len(trace) <= 14
+    n = 200_000
+    chain = chain.limit(0).union(spark.range(1, n + 1).selectExpr("(id * 7919) % 1000003", "((id - 1) * 7919) % 1000003"))
     trace = []
     r = rank_tours(chain.selectExpr("child AS v", "parent AS p"), trace)
     assert r.agg(F.max("depth"), F.count("v")).first() == (n, n)
