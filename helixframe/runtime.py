@@ -23,7 +23,7 @@ def shared_folder(spark: SparkSession) -> str:
     if app not in _FOLDERS:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
-            if not spark.sparkContext.master.startswith("local["):
+            if spark.sparkContext.master.split("[")[0] != "local":
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             base = tempfile.mkdtemp(prefix="helixframe-")
         _FOLDERS[app] = f"{base.rstrip('/')}/helixframe-{app}"
