@@ -8,6 +8,15 @@ from helixframe.llm import mixing, packing, repetition, tokens, topn
 from helixframe.runtime import materialize, read_table
 
 
+#: Where the vocabulary lies, unless the session says so in ``spark.helixframe.vocabulary``.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def _counted(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+    path = spark.conf.get("spark.helixframe.vocabulary", VOCABULARY)
+    return materialize(tokens.with_token_counts(read_table(spark, d, "documents"), list(keep), path), "tokens")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n_per_group(read_table(spark, d, "narrowpeak"), "np_chrom", "np_signal", ["np_name", "peak_id"], 3).select("np_chrom", "rnk", "peak_id")
 
@@ -20,7 +29,7 @@ def _boxes(spark: SparkSession, d: str) -> list[tuple[str, int]]:
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
-    n = materialize(tokens.with_token_counts(read_table(spark, d, "documents"), ["doc_id"]), "tokens")
+    n = _counted(spark, d, "doc_id")
     return packing.pack(n, _boxes(spark, d))
 
 
@@ -36,7 +45,7 @@ def p8_slack(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_balance(spark: SparkSession, d: str) -> DataFrame:
     """Per capacity: documents, those with text, those whose pieces do not add up, and boxes that are too full."""
-    n = materialize(tokens.with_token_counts(read_table(spark, d, "documents"), ["doc_id"]), "tokens")
+    n = _counted(spark, d, "doc_id")
     boxes = _boxes(spark, d)
     x = materialize(packing.pack(n, boxes), "packed")
     cap = spark.createDataFrame(boxes, "b string, capacity_tokens int")
@@ -49,7 +58,7 @@ def p8_balance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lengths(spark: SparkSession, d: str) -> DataFrame:
-    return materialize(tokens.with_token_counts(read_table(spark, d, "documents"), ["doc_id", "source"]), "tokens")
+    return _counted(spark, d, "doc_id", "source")
 
 
 def _corpus_total(lengths: DataFrame, targets: DataFrame) -> int:

@@ -9,8 +9,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Vocabulary file (a parameter, never copied) and the split pattern that goes with it.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Split pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -24,13 +23,13 @@ def encoding(path: str, pattern: str = PATTERN):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def count_tokens(text: str | None, path: str = VOCABULARY) -> int:
+def count_tokens(text: str | None, path: str) -> int:
     """Tokens of a text; special tokens are ordinary text; NULL counts none."""
     return len(encoding(path).encode_ordinary(text)) if text else 0
 
 
-def with_token_counts(df: DataFrame, keep: list[str], text: str = "text", path: str = VOCABULARY) -> DataFrame:
-    """``keep`` columns and ``n_tokens`` of the whole text. NULL and empty texts have 0. No shuffle."""
+def with_token_counts(df: DataFrame, keep: list[str], path: str, text: str = "text") -> DataFrame:
+    """``keep`` columns and ``n_tokens`` of the whole text, by the rank file at ``path`` (on every worker). NULL and empty texts have 0. No shuffle."""
     x = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ import random
 import pytest
 
 from helixframe.llm import packing, tokens
+from helixframe.llm.queries import VOCABULARY
 
 
 def test_window_is_nearest():
@@ -99,7 +100,7 @@ def test_shards_side_by_side(spark, monkeypatch):
 def test_token_counts(spark):
     texts = ["", None, "hello world", "<|endoftext|>", " " * 30_000, "a" * 50_000, "é日本 \U0001f600"]
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id bigint, text string, n_tokens int")
-    got = {r.doc_id: r.n_tokens for r in tokens.with_token_counts(df, ["doc_id"]).collect()}
-    enc = tokens.encoding(tokens.VOCABULARY)
+    got = {r.doc_id: r.n_tokens for r in tokens.with_token_counts(df, ["doc_id"], VOCABULARY).collect()}
+    enc = tokens.encoding(VOCABULARY)
     assert got == {i: len(enc.encode(t or "", disallowed_special=())) for i, t in enumerate(texts)}
-    assert enc.decode(enc.encode_ordinary(texts[6])) == texts[6] and tokens.with_token_counts(df.limit(0), ["doc_id"]).count() == 0
+    assert enc.decode(enc.encode_ordinary(texts[6])) == texts[6] and tokens.with_token_counts(df.limit(0), ["doc_id"], VOCABULARY).count() == 0
