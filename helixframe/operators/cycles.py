@@ -81,6 +81,8 @@ class Jumps:
         """``id, label`` of all terms on the ways from the marked ones (``id, label``) to their tops."""
         m = Table(marked.distinct(), "marks", n=_ROWS)
         for step in self.steps if m.seen["n"] else ():
+            if not step.seen["left"]:
+                continue
             s = step.df.where("x IS NOT NULL").select("v", "x")
             cur, out = m.df, m.df
             for _ in range(3):
@@ -143,7 +145,7 @@ def components(links: DataFrame, trace: list | None = None) -> DataFrame:
         if e.seen["loops"]:
             done.append(("loops", e.df.where("child = parent").select(F.col("child").alias("id")).distinct()))
         n0 = e.seen["n"] - e.seen["loops"]
-        peeled = Table(_peeled(_peeled(e.df.where("child != parent"))), "peel", n=_ROWS)
+        peeled = Table(_peeled(_peeled(e.df.where("child != parent").select("child", "parent").distinct())), "peel", n=_ROWS)
         used.append(peeled)
         n = peeled.seen["n"]
         if trace is not None:
@@ -162,12 +164,11 @@ def components(links: DataFrame, trace: list | None = None) -> DataFrame:
         else:
             in_tree = jumps.last.select(F.col("v").alias("t"), "top")
             from_several = peeled.df.join(jumps.last.select(F.col("v").alias("s")), F.col("child") == F.col("s"), "left_anti")
-            to = Table(from_several.join(in_tree, F.col("parent") == F.col("t"), "left").where("t IS NULL OR top IS NOT NULL"), "into")
-            used.append(to)
-            done.append(("tree", to.df.where("t IS NOT NULL"), jumps))
+            to = from_several.join(in_tree, F.col("parent") == F.col("t"), "left").where("t IS NULL OR top IS NOT NULL")
+            e = _links(to.select("child", F.coalesce("top", "parent").alias("parent"), F.when(F.col("t").isNotNull(), F.col("parent")).alias("at")))
+            done.append(("tree", e.df.where("at IS NOT NULL"), jumps))
             if jumps.has_rings:
                 done.append(("core", jumps.rings))
-            e = _links(to.df.select("child", F.coalesce("top", "parent").alias("parent")).distinct())
         used.append(e)
     labels = None
     for kind, x, *jumps in reversed(done):
@@ -181,7 +182,7 @@ def components(links: DataFrame, trace: list | None = None) -> DataFrame:
             used.append(known)
             labels = known.df
             a, b = labels.select(F.col("id").alias("a"), F.col("label").alias("la")), labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
-            marked = x.join(a, F.col("child") == F.col("a")).join(b, F.col("top") == F.col("b")).where("la = lb").select(F.col("parent").alias("id"), F.col("la").alias("label"))
+            marked = x.join(a, F.col("child") == F.col("a")).join(b, F.col("parent") == F.col("b")).where("la = lb").select(F.col("at").alias("id"), F.col("la").alias("label"))
             x = jumps[0].ways_up(marked)
         labels = x if labels is None else labels.union(x)
     if labels is None:

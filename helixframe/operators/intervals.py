@@ -177,16 +177,15 @@ def intersect_bed_with(a: DataFrame, b: DataFrame, name: str = "overlaps") -> Da
     """Every row of ``a`` with the sorted array of the intervals of ``b`` it overlaps (empty if none).
 
     The array holds structs of the columns of ``b``, ordered by start and end. Its length is the
-    result asked for; use :func:`query_intersect` where one row per pair is enough. Rows with partners
-    are numbered where they are read and take their columns along, so they are read once; those without
-    come from :func:`intersect_bed`.
+    result asked for; use :func:`query_intersect` where one row per pair is enough. The rows of ``a`` are
+    numbered and written once, so that both places that read them see the same numbers.
     """
+    x = materialize(a.withColumn("__id", F.monotonically_increasing_id()), "numbered")
     cols = ["chrom_start", "chrom_end", *[c for c in b.columns if c not in ("chrom_start", "chrom_end")]]
-    x = a.withColumn("__id", F.monotonically_increasing_id())
-    pairs = range_join(x, b, prefix="__b_")
-    g = pairs.groupBy("__id").agg(F.first(F.struct(*a.columns)).alias("__r"), F.sort_array(F.collect_list(F.struct(*[F.col(f"__b_{c}").alias(c) for c in cols]))).alias("__o"))
-    some = g.select(*[F.col("__r")[c].alias(c) for c in a.columns], F.col("__o").alias(name))
-    return some.unionByName(intersect_bed(a, b, negate=True).withColumn(name, F.array().cast(g.schema["__o"].dataType)))
+    pairs = range_join(x.select("__id", *BED3), b, prefix="__b_")
+    g = pairs.groupBy(F.col("__id").alias("__g")).agg(F.sort_array(F.collect_list(F.struct(*[F.col(f"__b_{c}").alias(c) for c in cols]))).alias("__o"))
+    none = F.array().cast(g.schema["__o"].dataType)
+    return x.join(g, F.col("__id") == F.col("__g"), "left").select(*a.columns, F.coalesce("__o", none).alias(name))
 
 
 # --- merging and depth ---------------------------------------------------------------------------
