@@ -185,7 +185,7 @@ def density(df: DataFrame, value: str, points: int = 512) -> DataFrame:
     """
     v = F.col(value).cast("double")
     x = df.select(v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") != math.inf))
-    n, lo, hi, sd, q = x.agg(F.count("v"), F.min("v"), F.max("v"), F.stddev_samp("v"), F.percentile_approx("v", [0.25, 0.75], F.lit(10_000))).first()
+    n, lo, hi, sd, q = x.agg(F.count("v"), F.min("v"), F.max("v"), F.stddev_samp("v"), F.percentile_approx("v", [0.25, 0.75], F.lit(1_000_000))).first()
     spark = df.sparkSession
     if not n:
         return spark.createDataFrame([], "x double, density double")
