@@ -144,10 +144,10 @@ class Words:
 
 
 def votes(m: dict[str, np.ndarray]) -> list[str]:
-    """The vote pattern of each text, one letter a rule."""
+    """The vote pattern of each text, one letter a rule. On a text without words no rule votes."""
     cols = []
     for col, yes, no, of, least in RULES.values():
-        big = m[of] >= least
+        big = (m[of] >= least) & (m["n_words"] > 0)
         cols.append(np.where(big & (m[col] >= yes), "1", np.where(big & (m[col] < no), "0", "-")))
     return ["".join(v) for v in zip(*cols, strict=True)]
 

@@ -56,6 +56,11 @@ def test_measure_against_brute_force():
     assert all(len(v) == 0 for v in rp.Words([]).rule_measures().values())
 
 
+def test_no_votes_without_words():
+    w = rp.Words(["?! ... !!\n--\n--\n--. . . .", "", None, "a"])
+    assert rp.votes(w.rule_measures())[:3] == ["-----"] * 3 and rp.votes(w.rule_measures())[3] != "-----"
+
+
 def test_bounds_hold():
     """A text that meets the definition never gets a clean vote from the first three rules."""
     rng = random.Random(11)
